@@ -36,17 +36,38 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(prepare(spark), sf_dir), _tokenizer_file("word_bpe_49k.json"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.secret_scan import secrets
+
+    return secrets(documents(prepare(spark), sf_dir))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(prepare(spark), sf_dir))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.jpeg_media import media_column, media_features
 
     return media_features(media_column(documents(prepare(spark), sf_dir)))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.license_scan import licences
+
+    return licences(documents(prepare(spark), sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_simhash": op8_simhash,
     "op9_media_columns": op9_media_columns,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {}
