@@ -36,6 +36,13 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(prepare(spark), sf_dir), _tokenizer_file("word_bpe_49k.json"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.toxicity import fit, scored
+
+    docs = documents(prepare(spark), sf_dir)
+    return scored(docs, fit(docs, documents(spark, sf_dir, "labels")))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.secret_scan import secrets
 
@@ -64,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_toxicity": op5_toxicity,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
     "op9_media_columns": op9_media_columns,
