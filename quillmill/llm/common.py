@@ -68,3 +68,22 @@ def words(text):
 def bucket(doc_id, n: int):
     """crc32 of the id as text, modulo n: the folds of the learning operators."""
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % F.lit(n)
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """``k`` (doc_id), ``t`` (text) and ``row`` (all columns): names that joins can add to without a clash."""
+    return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))
+
+
+def with_text(rows: DataFrame, schema, text) -> DataFrame:
+    """The columns of ``schema`` again from ``row``, with a new text; ``n_chars``, where there is one, follows it."""
+    changed = ~F.col("t").eqNullSafe(F.col("new"))
+    out = []
+    for f in schema.fields:
+        old = F.col(f"row.`{f.name}`")
+        if f.name == "text":
+            old = F.col("new")
+        elif f.name == "n_chars":
+            old = F.when(changed, F.length("new").cast(f.dataType)).otherwise(old)
+        out.append(old.alias(f.name))
+    return rows.withColumn("new", text).select(*out)

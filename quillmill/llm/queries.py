@@ -30,6 +30,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(documents(prepare(spark), sf_dir)).select(*names)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.substring_dedup import repeated_spans
+
+    return repeated_spans(documents(prepare(spark), sf_dir))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.packing import pack
 
@@ -43,6 +49,13 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, fit(docs, documents(spark, sf_dir, "labels")))
 
 
+def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.suffix_tree_lm import fit, scored
+
+    docs = documents(prepare(spark), sf_dir)
+    return scored(docs, fit(docs))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.llm.secret_scan import secrets
 
@@ -70,8 +83,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_toxicity": op5_toxicity,
+    "op6_suffix_tree_lm": op6_suffix_tree_lm,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash": op8_simhash,
     "op9_media_columns": op9_media_columns,

@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.llm.common import whole_rows, with_text
+
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -150,17 +152,16 @@ def append_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -
 
 def masked(docs: DataFrame, mark: str = "[secret]", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` with every finding in ``text`` replaced by ``mark``; overlapping findings become one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    named = docs.withColumn("_blob", F.sha2(text, 256))
-    found = findings(docs.select("doc_id", "text"), ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).filter(F.size("_spans") > 0).distinct()
+    named = whole_rows(docs).withColumn("_blob", F.sha2(F.coalesce(F.col("t"), F.lit("")), 256))
+    found = findings(docs.select("doc_id", "text"), ledger, rules).filter(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, x: Column) -> Column:
         inside = x["start"] < done["at"]
-        gap = F.substring(F.col("text"), done["at"] + 1, x["start"] - done["at"])
+        gap = F.substring(F.col("t"), done["at"] + 1, x["start"] - done["at"])
         out = F.when(inside, done["out"]).otherwise(F.concat(done["out"], gap, F.lit(mark)))
         return F.struct(F.greatest(done["at"], x["end"]).alias("at"), out.alias("out"))
 
-    cleaned = F.aggregate("_spans", start, step, lambda d: F.concat(d["out"], F.substring(F.col("text"), d["at"] + 1, F.length("text"))))
+    cleaned = F.aggregate("_spans", start, step, lambda d: F.concat(d["out"], F.substring(F.col("t"), d["at"] + 1, F.length("t"))))
     joined = named.join(found, "_blob", "left")
-    return joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cleaned)).select(*docs.columns)
+    return with_text(joined, docs.schema, F.when(F.col("_spans").isNull(), F.col("t")).otherwise(cleaned))

@@ -138,10 +138,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
 
 
 def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that are their component's smallest id, one row each; rows without an id stay once a component.
-
-    Rows that repeat an id and a text are one document.
-    """
+    """The rows of ``docs`` that have their component's smallest id, one row for an id; rows without an id stay."""
     found = near_duplicates(docs, **parameters)
     stay = found.filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.filter("doc_id is null"))

@@ -160,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
             m = [matcher.measures(x) for x in b.column(0).to_pylist()]
             yield pa.record_batch([pa.array([x for x, _ in m], pa.float64()), pa.array([x for _, x in m], pa.float64()), b.column(1)], ["density", "hit", "toxic"])
 
-    seen = train.mapInArrow(measure, "density double, hit double, toxic int").orderBy("toxic", "density", "hit").toPandas()
+    seen = train.mapInArrow(measure, "density double, hit double, toxic int").toPandas()
+    seen = seen.sort_values(["toxic", "density", "hit"])  # sums of floats then don't depend on the order of tasks
     if n1 and n0:
         model.curve = _logistic(seen[["density", "hit"]].to_numpy(float), seen["toxic"].to_numpy(float))
     return model
