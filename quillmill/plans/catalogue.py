@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,13 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+#: Modules that register queries.
+MODULES = ("quillmill.operators.analytics",)
+
+
 def _load() -> None:
-    pass
+    for name in MODULES:
+        importlib.import_module(name)
 
 
 def queries() -> dict[str, Query]:
