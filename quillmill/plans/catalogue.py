@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules that register queries.
-MODULES = ("quillmill.operators.analytics",)
+MODULES = ("quillmill.operators.analytics", "quillmill.operators.lifecycle", "quillmill.operators.retrieval", "quillmill.operators.text_quality")
 
 
 def _load() -> None:
