@@ -284,13 +284,13 @@ def shadow(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.groupBy("l_orderkey").agg(
         F.collect_set(F.when(F.col("l_discount") <= 0.07, F.col("l_partkey"))).alias("a"), F.collect_set(F.when(F.col("l_quantity") >= 10, F.col("l_partkey"))).alias("b"),
-        F.avg("l_discount").alias("primary_confidence"), F.avg("l_tax").alias("vnext_confidence"), F.min_by("l_partkey", "l_linenumber").alias("top_a"), F.max_by("l_partkey", "l_linenumber").alias("top_b"), F.max("l_shipdate").alias("shipped"),
+        F.avg("l_discount").alias("primary_confidence"), F.avg("l_tax").alias("vnext_confidence"), F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("top_a"), F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("top_b"), F.max("l_shipdate").alias("shipped"),
         F.sum("l_quantity").alias("duration_ms"),
     )
 
 
 _SHADOW = """s AS (SELECT l_orderkey, coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_discount <= 0.07), []) AS a, coalesce(list(DISTINCT l_partkey) FILTER (WHERE l_quantity >= 10), []) AS b,
-  avg(l_discount) AS primary_confidence, avg(l_tax) AS vnext_confidence, arg_min(l_partkey, l_linenumber) AS top_a, arg_max(l_partkey, l_linenumber) AS top_b, max(l_shipdate) AS shipped, sum(l_quantity) AS duration_ms FROM lineitem GROUP BY l_orderkey),
+  avg(l_discount) AS primary_confidence, avg(l_tax) AS vnext_confidence, arg_min(l_partkey, (l_linenumber, l_partkey)) AS top_a, arg_max(l_partkey, (l_linenumber, l_partkey)) AS top_b, max(l_shipdate) AS shipped, sum(l_quantity) AS duration_ms FROM lineitem GROUP BY l_orderkey),
 o AS (SELECT *, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS overlap FROM s)"""
 
 
@@ -309,12 +309,12 @@ def shadow_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "shadow_daily",
-    f"""WITH {_SHADOW} SELECT strftime(date_trunc('day', shipped), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE top_a = top_b) AS matches, round(avg(overlap), 6) AS overlap FROM o GROUP BY 1""",
+    f"""WITH {_SHADOW} SELECT strftime(date_trunc('day', shipped), '%Y-%m-%d') AS day, count(*) AS n, count(*) FILTER (WHERE top_a = top_b) AS matches, round(avg(overlap) + 1e-9, 6) AS overlap FROM o GROUP BY 1""",
 )
 def shadow_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = shadow(spark, sf_dir).withColumn("overlap", jaccard(F.col("a"), F.col("b"), 1.0))
     day = F.date_format(F.date_trunc("day", "shipped"), "yyyy-MM-dd").alias("day")
-    return s.groupBy(day).agg(F.count("*").alias("n"), F.count_if(F.col("top_a") == F.col("top_b")).alias("matches"), F.round(F.avg("overlap"), 6).alias("overlap"))
+    return s.groupBy(day).agg(F.count("*").alias("n"), F.count_if(F.col("top_a") == F.col("top_b")).alias("matches"), F.round(F.avg("overlap") + 1e-9, 6).alias("overlap"))
 
 
 @register("recent_disagreements", f"WITH {_SHADOW} SELECT l_orderkey, top_a, top_b FROM o WHERE top_a <> top_b ORDER BY shipped DESC, l_orderkey LIMIT 50")

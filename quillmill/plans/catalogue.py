@@ -28,7 +28,14 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 #: Modules that register queries.
-MODULES = ("quillmill.operators.analytics", "quillmill.operators.lifecycle", "quillmill.operators.retrieval", "quillmill.operators.text_quality")
+MODULES = (
+    "quillmill.operators.analytics",
+    "quillmill.operators.lifecycle",
+    "quillmill.operators.retrieval",
+    "quillmill.operators.text_quality",
+    "quillmill.operators.documents",
+    "quillmill.streaming.state",
+)
 
 
 def _load() -> None:
