@@ -40,6 +40,7 @@ LEAST_SHARE = 2e-5
 HOT_SHARE = 1e-6
 END = b"\n"
 BATCH_BYTES = 8_000_000
+SCORE_BYTES = 1_000_000
 MERGE_AT = 3_000_000
 
 
@@ -66,11 +67,11 @@ def grams(lines: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return code[keep], sizes
 
 
-def _parts(rows: list, size) -> list[list]:
-    """Cut a list so that the sizes of a part add up to about BATCH_BYTES."""
+def _parts(rows: list, size, most: int = BATCH_BYTES) -> list[list]:
+    """Cut a list so that the sizes of a part add up to about ``most``."""
     parts, total = [[]], 0
     for r in rows:
-        if total > BATCH_BYTES:
+        if total > most:
             parts.append([])
             total = 0
         parts[-1].append(r)
@@ -126,6 +127,7 @@ class SuffixTree:
     contexts: list[np.ndarray]
     rows: list[np.ndarray]
     logs: np.ndarray
+    walk: "Walk | None" = None
 
     def states(self, context: np.ndarray) -> np.ndarray:
         """Row of the longest suffix of each context that is a state."""
@@ -144,15 +146,65 @@ class SuffixTree:
 
     def score(self, lines: list[bytes]) -> np.ndarray:
         """log10 probability of each line and its end."""
-        out = [np.zeros(0)]
-        for part in _parts(lines, len):
-            if not part:
-                continue
-            code, sizes = grams(part, self.depth)
-            found, at = np.unique(code, return_inverse=True)
-            logs = self.logs[self.states(found >> 8), found & 255].astype(np.float64)
-            out.append(np.add.reduceat(logs[at], np.cumsum(sizes) - sizes))
-        return np.concatenate(out)
+        if self.walk is None:
+            self.walk = Walk(self)
+        parts = [self.walk.score(part) for part in _parts(lines, len, SCORE_BYTES) if part]
+        return np.concatenate([np.zeros(0), *parts])
+
+
+class Walk:
+    """The tree as a table of steps from the latest byte backwards, so that all places move at once.
+
+    ``step`` has a row for each node on the way to a state, and a column for each byte that
+    some context has (column 0: any other).  A missing child leads to the node's halt,
+    which leads to itself; ``state`` is the row of the longest suffix that is a state.
+    """
+
+    def __init__(self, tree: SuffixTree):
+        self.depth, self.logs = tree.depth, tree.logs
+        used = sorted({int(c) >> (8 * k) & 255 for d in range(1, tree.depth + 1) for c in tree.contexts[d] for k in range(d)})
+        self.column = np.zeros(256, np.int32)
+        self.column[used] = np.arange(1, len(used) + 1)
+        children: list[dict[int, int]] = [{}]
+        state = [0]
+        for d in range(1, tree.depth + 1):  # shorter ones first, so a node starts with its parent's state
+            for c, row in zip(tree.contexts[d].tolist(), tree.rows[d].tolist(), strict=True):
+                node = 0
+                for k in range(d):
+                    b = c >> (8 * k) & 255
+                    if b not in children[node]:
+                        children[node][b] = len(children)
+                        children.append({})
+                        state.append(state[node])
+                    node = children[node][b]
+                state[node] = row
+        n, self.width = len(children), len(used) + 1
+        for node in range(n):  # a path that was laid before its inner states were known
+            for child in children[node].values():
+                if state[child] == 0:
+                    state[child] = state[node]
+        self.state = np.array(state + state, np.int32)
+        step = np.empty((2 * n, self.width), np.int32)
+        step[:n] = np.arange(n, 2 * n)[:, None]
+        step[n:] = np.arange(n, 2 * n)[:, None]
+        for node, kids in enumerate(children):
+            for b, child in kids.items():
+                step[node, self.column[b]] = child
+        self.step = step.reshape(-1)
+
+    def score(self, lines: list[bytes]) -> np.ndarray:
+        pad, depth = END * self.depth, self.depth
+        raw = np.frombuffer(b"".join([pad + x + END for x in lines]), np.uint8)
+        column = self.column[raw]
+        node = np.zeros(len(raw) - depth, np.int32)
+        for k in range(1, depth + 1):
+            node = self.step[node * self.width + column[depth - k : len(raw) - k]]
+        logs = self.logs.reshape(-1)[self.state[node] * 256 + raw[depth:]].astype(np.float64)
+        sizes = np.array([len(x) + 1 for x in lines], np.int64)
+        starts = np.cumsum(sizes + depth) - sizes - depth
+        # each line's places, without the next line's opening
+        bounds = np.column_stack([starts, starts + sizes]).reshape(-1)
+        return np.add.reduceat(np.append(logs, 0.0), bounds)[::2]
 
 
 def build_tree(entries: pd.DataFrame, depth: int = DEPTH) -> SuffixTree:
