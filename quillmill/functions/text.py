@@ -70,8 +70,10 @@ def section_reference(text: Column) -> Column:
 
 def expanded_pages(pages: Column) -> Column:
     """Page numbers of a list such as "3-5, 9": distinct, in order."""
-    parts = F.filter(F.transform(F.split(pages, ","), F.trim), lambda p: p.rlike(r"^\d+(-\d+)?$"))
-    ranges = F.transform(parts, lambda p: F.sequence(F.split_part(p, F.lit("-"), F.lit(1)).cast("int"), F.greatest(F.split_part(p, F.lit("-"), F.lit(1)).cast("int"), F.regexp_extract(p, r"(\d+)$", 1).cast("int"))))
+    parts = F.filter(F.transform(F.split(pages, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^\d+(-\d+)?$"))
+    first = lambda p: F.regexp_extract(p, r"^(\d+)", 1).cast("int")
+    last = lambda p: F.regexp_extract(p, r"(\d+)$", 1).cast("int")
+    ranges = F.transform(parts, lambda p: F.sequence(first(p), F.greatest(first(p), last(p))))
     return F.array_sort(F.array_distinct(F.flatten(ranges)))
 
 
@@ -115,7 +117,7 @@ def valid_iban(text: str) -> bool:
 
 _GOVERNMENT = re.compile(r"\b\d{3}-\d{2}-\d{4}\b")
 _CARD = re.compile(r"\b\d(?:[ -]?\d){12,18}\b")
-_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Za-z0-9]){11,30}\b")
+_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b")
 _EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
 _PHONE = re.compile(r"(?<![\w.])\+?\d[\d ().-]{6,}\d(?![\w.])")
 
