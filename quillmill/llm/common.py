@@ -87,3 +87,28 @@ def with_text(rows: DataFrame, schema, text) -> DataFrame:
             old = F.when(changed, F.length("new").cast(f.dataType)).otherwise(old)
         out.append(old.alias(f.name))
     return rows.withColumn("new", text).select(*out)
+
+
+class Recent(dict):
+    """A bounded memo: when it is full, its entries become the old ones, which are looked up once more before they go."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old = limit, {}
+
+    def turn(self) -> None:
+        """Between batches: make room."""
+        if len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, keys) -> list:
+        """The keys that are not known; known old ones are taken over."""
+        out, old = [], self.old
+        for k in {k for ks in keys for k in ks if k not in self}:
+            found = old.get(k)
+            if found is None:
+                out.append(k)
+            else:
+                self[k] = found
+        return out
