@@ -203,7 +203,7 @@ def replace_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "idle_sessions",
-    """SELECT user_id, session, count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M') AS started, round(epoch(max(ts) - min(ts)) / 60) AS minutes FROM (
+    """SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M') AS started, round(epoch(max(ts) - min(ts)) / 60) AS minutes FROM (
   SELECT *, sum(CASE WHEN gap > INTERVAL 6 HOUR OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (
     SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) a) b GROUP BY user_id, session""",
 )
