@@ -43,6 +43,59 @@ def docx_text(data: bytes) -> str:
     return "\n".join("".join(t.text or "" for t in p.iter(f"{w}t")) for p in root.iter(f"{w}p"))
 
 
+def xlsx_rows(data: bytes) -> list[list[str]]:
+    """Cells of a workbook's first sheet, as text."""
+    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            shared = ["".join(t.text or "" for t in s.iter(f"{m}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{m}si")]
+        sheet = ElementTree.fromstring(z.read(min(n for n in z.namelist() if n.startswith("xl/worksheets/"))))
+    out = []
+    for row in sheet.iter(f"{m}row"):
+        cells = []
+        for c in row.iter(f"{m}c"):
+            value = c.find(f"{m}v")
+            if c.get("t") == "s" and value is not None:
+                cells.append(shared[int(value.text)])
+            elif c.get("t") == "inlineStr":
+                cells.append("".join(t.text or "" for t in c.iter(f"{m}t")))
+            else:
+                cells.append("" if value is None else value.text or "")
+        out.append(cells)
+    return out
+
+
+def resolved_header(header: list[str], aliases: dict[str, tuple[str, ...]]) -> dict[str, int]:
+    """Place of each wanted column, by any of its names without case, spaces and marks."""
+    plain = lambda x: re.sub(r"[^a-z0-9]", "", x.lower())
+    found = {plain(h): i for i, h in reversed(list(enumerate(header)))}
+    return {name: next((found[plain(a)] for a in (name, *other) if plain(a) in found), -1) for name, other in aliases.items()}
+
+
+def read_plans(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]], header_row: int = 0) -> DataFrame:
+    """Rows of test plans (workbooks), with the columns that ``aliases`` names; absent ones are empty."""
+    names = list(aliases)
+
+    def read(batches):
+        for b in batches:
+            rows = []
+            for p, data in zip(b["path"], b["content"], strict=True):
+                cells = xlsx_rows(data)
+                at = resolved_header(cells[header_row], aliases) if len(cells) > header_row else {}
+                rows += [(p, *[r[at[n]] if 0 <= at[n] < len(r) else "" for n in names]) for r in cells[header_row + 1 :]]
+            yield pd.DataFrame(rows, columns=["path", *names])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return files.select("path", "content").mapInPandas(read, "path string, " + ", ".join(f"`{n}` string" for n in names))
+
+
+def recognised_pages(blocks: DataFrame) -> DataFrame:
+    """Lines that a recogniser found (document, page, line, kind, text) as one text a page."""
+    lines = F.array_sort(F.collect_list(F.struct("line", "text")))
+    return blocks.filter("kind = 'LINE'").groupBy("document", "page").agg(F.array_join(F.transform(lines, lambda x: x["text"]), "\n").alias("text"))
+
+
 def kind_of(path: str, data: bytes) -> str:
     """What the bytes say, before what the name says."""
     if data.startswith(b"%PDF"):

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EXPORT_COLUMNS = ("created_at", "correlation_id", "session_id", "country", "language", "traffic_source", "topic", "confidence", "tokens", "fallback", "rating")
@@ -47,3 +48,55 @@ def fan_out(batch: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> list[
 def numbered_batches(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Rows with the number of their batch of ``size``, in order of a unique long id that starts near 0."""
     return rows.withColumn("batch", F.expr(f"`{order}` div {size}"))
+
+
+def upsert(current: DataFrame, updates: DataFrame, key: str, first: tuple[str, ...] = (), order: str = "updated_at") -> DataFrame:
+    """The table after an upsert: the newest value of each column, but the oldest of those in ``first``; one row a key."""
+    rows = current.unionByName(updates)
+    out = [(F.min_by if c in first else F.max_by)(c, order).alias(c) for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(*out, F.max(order).alias(order)).select(*current.columns)
+
+
+def insert_new(current: DataFrame, updates: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is new are added; known ones are ignored."""
+    return current.unionByName(updates.dropDuplicates([key]).join(current.select(key), key, "left_anti").select(*current.columns))
+
+
+def checked_rows(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Rows with ``errors``: the names of the rules that each breaks; nothing is raised."""
+    return rows.withColumn("errors", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])))
+
+
+def publish_generation(rows: DataFrame, root: str, generation: str, expected: int) -> DataFrame:
+    """Write a generation beside the others, count it, and only then let the pointer name it.
+
+    A wrong count leaves the pointer as it was.  Returns the rows of the active generation.
+    """
+    spark = rows.sparkSession
+    path = f"{root}/generation={generation}"
+    rows.write.mode("overwrite").parquet(path)
+    found = spark.read.parquet(path).count()
+    if found != expected:
+        raise ValueError(f"{found} rows were written and {expected} expected")
+    spark.range(1).select(F.lit(generation).alias("generation"), F.lit(found).alias("n")).coalesce(1).write.mode("overwrite").json(f"{root}/pointer")
+    return active_generation(spark, root)
+
+
+def active_generation(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of the generation that the pointer names."""
+    name = spark.read.schema("generation string, n long").json(f"{root}/pointer").first()["generation"]
+    return spark.read.parquet(f"{root}/generation={name}")
+
+
+def write_xlsx(rows: DataFrame, path: str, columns: tuple[str, ...]) -> None:
+    """A workbook of one sheet, for a report of at most MOST_SHEET_ROWS rows."""
+    parts = {
+        "[Content_Types].xml": '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>',
+        "_rels/.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        "xl/workbook.xml": '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="Report" sheetId="1" r:id="rId1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/worksheets/sheet1.xml": sheet_xml(rows, columns).replace("<worksheet>", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">'),
+    }
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in parts.items():
+            z.writestr(name, text)

@@ -175,3 +175,33 @@ def test_files_and_sinks(spark, tmp_path):
 
     seen = []
     assert len(sinks.fan_out(rows, [broken, lambda b: seen.append(b.count())])) == 1 and seen == [2]
+
+
+def test_repairs():
+    from quillmill.functions import repair as R
+
+    assert R.repaired_query("delivry of B12 ABC parcels", ["delivery", "parcel"]) == "delivery of B12 ABC parcel"
+    assert R.repaired_query("returnpolicy", ["return", "policy"]) == "return policy"
+    assert R.scrubbed("call Ann Lee at 555", [(5, 12, "NAME"), (16, 19, "PHONE")], "ann-lee works here") == "call Ann Lee at [PHONE]"
+    assert R.joined_characters("h e l l o  w o r l d") == "hello world"
+    assert R.phrase_intent("thanks and hello", ["hello", "thanks"]) and R.phrase_intent("helo", ["hello"]) and not R.phrase_intent("hello friend", ["hello"])
+
+
+def test_tables_and_workbooks(spark, tmp_path):
+    schema = "id long, a string, b string, updated_at int"
+    now = spark.createDataFrame([(1, "a", "b", 1)], schema)
+    new = spark.createDataFrame([(1, "c", "d", 2), (2, "e", "f", 2)], schema)
+    assert sorted(map(tuple, sinks.upsert(now, new, "id", first=("a",)).collect())) == [(1, "a", "d", 2), (2, "e", "f", 2)]
+    assert sorted(map(tuple, sinks.insert_new(now, new, "id").collect())) == [(1, "a", "b", 1), (2, "e", "f", 2)]
+    assert [r["errors"] for r in sinks.checked_rows(new, {"small": F.col("id") < 2}).orderBy("id").collect()] == [[], ["small"]]
+    root = str(tmp_path / "gen")
+    assert sinks.publish_generation(now, root, "g1", 1).count() == 1
+    with pytest.raises(ValueError):
+        sinks.publish_generation(new, root, "g2", 5)
+    assert sinks.active_generation(spark, root).count() == 1
+    (tmp_path / "plans").mkdir()
+    sinks.write_xlsx(new, str(tmp_path / "plans" / "p.xlsx"), ("id", "a"))
+    plans = files.read_plans(spark, str(tmp_path / "plans"), {"test id": ("ID",), "answer": ("a",), "none": ()})
+    assert sorted((r["test id"], r["answer"], r["none"]) for r in plans.collect()) == [("1", "c", ""), ("2", "e", "")]
+    blocks = spark.createDataFrame([("d", 1, 2, "LINE", "two"), ("d", 1, 1, "LINE", "one"), ("d", 1, 1, "WORD", "x")], "document string, page int, line int, kind string, text string")
+    assert files.recognised_pages(blocks).first()["text"] == "one\ntwo"
