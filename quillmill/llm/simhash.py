@@ -137,9 +137,135 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     return prints.join(named, "fp").select("doc_id", hexadecimal, "component_id")
 
 
-def keep_first(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs`` that have their component's smallest id, one row for an id; rows without an id stay."""
-    found = near_duplicates(docs, **parameters)
-    stay = found.filter("doc_id = component_id").select("doc_id").distinct()
+# Similar texts (Jaccard similarity of shingle sets) by fingerprints of parts.
+#
+# Texts that share four fifths of their shingles differ in about ten of 64 bits, too many
+# for a grid.  But the shingles of a text can be dealt to classes by their own hash, with
+# about CLASS_SHINGLES in each; of CLASSES such classes of two similar texts some are very
+# likely equal, and then so are their fingerprints.  Those are joined by the same cells,
+# at distance zero, next to the whole fingerprints at distance two, and every pair that
+# meets is compared exactly.  The number of classes doubles with the size of a text; each
+# text takes part at two neighbouring numbers, so that similar sizes have one in common.
+
+STAGE_SHINGLE = 5
+SIMILARITY = 0.8
+CLASSES = 24
+CLASS_SHINGLES = 8
+
+
+def shingle_hashes(text: str | None, size: int) -> np.ndarray:
+    """Distinct 64-bit hashes of the shingles of a text, sorted."""
+    import xxhash
+
+    w = (text or "").encode("utf-8").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    joined, lengths = b" ".join(w), np.array([len(x) + 1 for x in w])
+    ends = np.cumsum(lengths) - 1
+    starts = (ends - lengths + 1).tolist()
+    last = ends[min(size, len(w)) - 1 :].tolist()
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)], np.uint64))
+
+
+def class_fingerprints(hashes: np.ndarray) -> list[tuple[int, int]]:
+    """(class, fingerprint) of the classes of a text; a class names its number of classes too."""
+    out: list[tuple[int, int]] = []
+    if not len(hashes):
+        return out
+    level = max(0, int(len(hashes) / CLASS_SHINGLES).bit_length() - 1)
+    for lv in (level, level + 1):
+        of = (hashes >> np.uint64(40) & np.uint64((1 << lv) - 1)).astype(np.int64)
+        chosen = of < CLASSES
+        order = np.argsort(of[chosen], kind="stable")
+        of, h = of[chosen][order], hashes[chosen][order]
+        if not len(h):
+            continue
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        sums, sizes = np.add.reduceat(bits, starts, axis=0), np.diff(np.append(starts, len(h)))
+        fps = np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
+        out += [(lv * CLASSES + int(c), int(f)) for c, f in zip(of[starts].tolist(), fps.tolist(), strict=True)]
+    return out
+
+
+def sketches(docs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
+    """doc_id, digest of the words (two longs), whole fingerprint and class fingerprints."""
+    schema = "doc_id long, h1 long, h2 long, fp long, parts array<struct<c:int,f:long>>"
+    part = pa.list_(pa.struct([("c", pa.int32()), ("f", pa.int64())]))
+
+    def run(batches):
+        import xxhash
+
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8").lower().split())) for x in texts), "<i8").reshape(-1, 2)
+            hashes = [shingle_hashes(x, size) for x in texts]
+            fps = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
+            parts = pa.array([[{"c": c, "f": f} for c, f in class_fingerprints(h)] for h in hashes], part)
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(fps), parts], ["doc_id", "h1", "h2", "fp", "parts"])
+
+    return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, schema)
+
+
+def _majority(hashes: np.ndarray) -> int:
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        counts += np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
+    """doc_id and ``root``: the smallest id of the group that similar texts form."""
+    every = stored(sketches(docs, size), "sketches")
+    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("parts").alias("parts")), "texts")
+
+    # whole fingerprints, at distance two: their grid join links fingerprints, each stands for its texts
+    by_print = texts.groupBy("fp").agg(F.min("rep").alias("least"))
+    edges = stored(links(by_print.select("fp")), "links")
+    of = by_print.select(F.col("fp").alias("a"), F.col("least").alias("x")), by_print.select(F.col("fp").alias("b"), F.col("least").alias("y"))
+    whole = edges.join(of[0], "a").join(of[1], "b").select("x", "y")
+    same = texts.join(by_print, "fp").select(F.col("rep").alias("x"), F.col("least").alias("y"))
+
+    # class fingerprints, at distance zero: a cell's members are paired with its least and its greatest one
+    parts = texts.select("rep", F.explode("parts").alias("p")).select("rep", "p.c", "p.f", embedding(F.col("p.f")).alias("u"))
+    cells = parts.groupBy("c", "u", "f").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
+    met = parts.join(cells, ["c", "u", "f"]).select(F.col("rep").alias("x"), F.explode(F.array("least", "most")).alias("y"))
+
+    pairs = whole.unionByName(same).unionByName(met).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = stored(pairs, "pairs")
+    alike = stored(verified(pairs, docs, similarity, size), "alike")
+    roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
+    named = texts.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
+    return every.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "root")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (x, y) whose texts have the similarity, compared by their whole shingle sets."""
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+    texts = stored(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "asked")
+    left, right = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("s")), texts.select(F.col("doc_id").alias("y"), F.col("text").alias("t"))
+
+    def run(batches):
+        for b in batches:
+            keep, last, mine = [], None, None
+            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if s is not last:
+                    last, mine = s, shingle_hashes(s, size)
+                other = shingle_hashes(t, size)
+                shared = len(np.intersect1d(mine, other, assume_unique=True))
+                union = len(mine) + len(other) - shared
+                keep.append(union == 0 or shared >= similarity * union)
+            yield pa.record_batch([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.join(left, "x").join(right, "y").select("x", "y", "s", "t").mapInArrow(run, "x long, y long")
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group of similar texts, one row for an id; rows without an id stay.
+
+    Blank texts are similar to one another.  Of rows that share an id and differ in text, one stays where one of them does.
+    """
+    stay = similar_groups(docs, similarity, size).filter("doc_id = root").select("doc_id").distinct()
     named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return named.unionByName(docs.filter("doc_id is null"))

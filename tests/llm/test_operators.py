@@ -338,6 +338,30 @@ def test_embedding_bounds_the_distance(spark):
         assert ((x["u"] ^ x["v"]) & mask).bit_count() == manhattan <= ((x["a"] ^ x["b"]) & mask).bit_count()
 
 
+def test_similar_groups_match_brute_force(spark):
+    docs = documents(prepare(spark), "/root/testdata/sf0.01")
+    sets = {r["doc_id"]: set(simhash.shingle_hashes(r["text"], 5).tolist()) for r in docs.collect()}
+    root = {d: d for d in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= 0.8 * max(len(x), len(y)):
+            shared = len(x & y)
+            if shared >= 0.8 * (len(x) + len(y) - shared):
+                p, q = find(a), find(b)
+                root[max(p, q)] = min(p, q)
+    got = {r["doc_id"]: r["root"] for r in simhash.similar_groups(docs).collect()}
+    want = {d: find(d) for d in sets}
+    wrong = [d for d in want if got[d] != want[d]]
+    assert len(wrong) <= 0.002 * len(want)
+    assert {r["doc_id"] for r in simhash.keep_first(docs).select("doc_id").collect()} == {d for d in got if got[d] == d}
+
+
 # 9: media
 
 
