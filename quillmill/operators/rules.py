@@ -349,3 +349,97 @@ def planner_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 def section_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     spoken = F.concat(F.lit("see section "), F.col("p_size").cast("string"), F.lit("-"), (F.col("p_partkey") % 9).cast("string"))
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), T.section_reference(spoken).alias("reference"))
+
+
+@register(
+    "priority_first",
+    """SELECT o_custkey, arg_min(o_orderkey, (CASE o_orderpriority WHEN '1-URGENT' THEN 0 ELSE 1 END, o_orderkey)) AS chosen FROM orders GROUP BY o_custkey""",
+)
+def priority_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a key: a preferred one if there is any, else the first."""
+    rank = F.when(F.col("o_orderpriority") == "1-URGENT", 0).otherwise(1)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(rank.alias("r"), "o_orderkey")).alias("chosen"))
+
+
+@register(
+    "schema_difference",
+    """SELECT name FROM (VALUES ('doc_id'), ('text'), ('lang'), ('source'), ('n_chars'), ('status'), ('generation')) r(name) WHERE name NOT IN (SELECT column_name FROM (DESCRIBE documents))""",
+)
+def schema_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Required columns that a table lacks."""
+    need = ("doc_id", "text", "lang", "source", "n_chars", "status", "generation")
+    have = table(spark, sf_dir, "documents").columns
+    rows = spark.range(1).select(F.explode(F.array(*[F.lit(x) for x in need])).alias("name"))
+    return rows.filter(~F.col("name").isin(have))
+
+
+@register(
+    "generation_deletes",
+    """SELECT source, lang, generation, n = expected AS deletable, CASE WHEN n = expected THEN 'deleted' ELSE 'kept' END AS status FROM (
+  SELECT source, lang, doc_id // 50 AS generation, count(*) AS n, count(*) + CASE WHEN min(doc_id) % 7 = 0 THEN 1 ELSE 0 END AS expected FROM documents GROUP BY ALL) t""",
+)
+def generation_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generation becomes a tombstone only if as many rows are found as were recorded."""
+    g = table(spark, sf_dir, "documents").groupBy("source", "lang", F.expr("doc_id div 50").alias("generation"))
+    g = g.agg(F.count("*").alias("n"), (F.count("*") + F.when(F.min("doc_id") % 7 == 0, 1).otherwise(0)).alias("expected"))
+    ok = F.col("n") == F.col("expected")
+    return g.select("source", "lang", "generation", ok.alias("deletable"), F.when(ok, "deleted").otherwise("kept").alias("status"))
+
+
+@register(
+    "artifact_cleanup",
+    """SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1) // 1000 AS batch FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1996-06-01'""",
+)
+def artifact_cleanup(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+    """Retired artifacts in order of time, in batches.
+
+    Days are numbered by the running sum of their counts (a row a day), and rows within their day, so no window holds all rows.
+    """
+    o = table(spark, sf_dir, "orders").filter((F.col("o_orderstatus") == "F") & (F.col("o_orderdate") < F.lit("1996-06-01 00:00:00").cast("timestamp_ntz")))
+    o = o.select("o_orderkey", "o_orderdate", F.to_date("o_orderdate").alias("day"))
+    days = o.groupBy("day").agg(F.count("*").alias("n"))
+    before = days.withColumn("before", F.sum("n").over(Window.orderBy("day")) - F.col("n")).select("day", "before")
+    within = F.row_number().over(Window.partitionBy("day").orderBy("o_orderdate", "o_orderkey"))
+    return o.withColumn("within", within).join(before, "day").select("o_orderkey", F.floor((F.col("before") + F.col("within") - 1) / size).alias("batch"))
+
+
+@register(
+    "allowed_citations",
+    """SELECT l_orderkey, count(*) AS cited, count(*) FILTER (WHERE p_size >= 10) AS allowed, bool_and(coalesce(p_size >= 10, false)) AS all_allowed FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey""",
+)
+def allowed_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cited ids that are among the approved ones, for each answer."""
+    p = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") >= 10).alias("ok"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").join(p, F.col("l_partkey") == F.col("p_partkey"), "left")
+    ok = F.coalesce("ok", F.lit(False))
+    return li.groupBy("l_orderkey").agg(F.count("*").alias("cited"), F.count_if(ok).alias("allowed"), F.bool_and(ok).alias("all_allowed"))
+
+
+@register(
+    "local_relevance",
+    """SELECT p_partkey, round(0.25::DOUBLE * p_size / 50 + 0.15::DOUBLE * (contains(p_name, 'red'))::INT + 0.15::DOUBLE * (p_retailprice > 1000)::INT + 0.25::DOUBLE * (contains(p_name, 'small bolt'))::INT + 0.1::DOUBLE * (p_partkey % 10 = 7)::INT + 0.1::DOUBLE * (p_type = 'SMALL')::INT, 6) AS relevance,
+  row_number() OVER (PARTITION BY p_brand ORDER BY p_type = 'SMALL' DESC, round(0.25::DOUBLE * p_size / 50 + 0.15::DOUBLE * (contains(p_name, 'red'))::INT + 0.15::DOUBLE * (p_retailprice > 1000)::INT + 0.25::DOUBLE * (contains(p_name, 'small bolt'))::INT + 0.1::DOUBLE * (p_partkey % 10 = 7)::INT + 0.1::DOUBLE * (p_type = 'SMALL')::INT, 6) DESC, p_partkey) AS rank FROM part""",
+)
+def local_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six weighted parts of relevance; ranked by heading, relevance and id."""
+    one = lambda c: c.cast("int")
+    n = F.col("p_name")
+    heading = F.col("p_type") == "SMALL"
+    parts = 0.25 * F.col("p_size") / 50 + 0.15 * one(n.contains("red")) + 0.15 * one(F.col("p_retailprice") > 1000) + 0.25 * one(n.contains("small bolt")) + 0.1 * one(F.col("p_partkey") % 10 == 7) + 0.1 * one(heading)
+    p = table(spark, sf_dir, "part").withColumn("relevance", F.round(parts, 6)).withColumn("heading", heading)
+    w = Window.partitionBy("p_brand").orderBy(F.desc("heading"), F.desc("relevance"), "p_partkey")
+    return p.select("p_partkey", "relevance", F.row_number().over(w).cast("long").alias("rank"))
+
+
+@register(
+    "ordered_union",
+    """SELECT p_brand, list_distinct_in_order AS parts FROM (SELECT p_brand, (list_filter(x, lambda e, i: list_position(x, e) = i))[1:8] AS list_distinct_in_order FROM (
+  SELECT p_brand, list_concat(list(p_partkey ORDER BY p_retailprice DESC, p_partkey)[1:5], list(p_partkey ORDER BY p_size DESC, p_partkey)[1:5]) AS x FROM part GROUP BY p_brand) a) b""",
+)
+def ordered_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selected rows, then their neighbours, distinct and bounded."""
+    from quillmill.operators.retrieval import ranked_lists
+
+    lists = ranked_lists(spark, sf_dir).filter("r1 <= 5 or r2 <= 5")
+    top = lambda r: F.transform(F.array_sort(F.collect_list(F.when(F.col(r) <= 5, F.struct(r, "p_partkey")))), lambda x: x["p_partkey"])
+    return lists.groupBy("p_brand").agg(F.slice(F.array_distinct(F.concat(top("r1"), top("r2"))), 1, 8).alias("parts"))

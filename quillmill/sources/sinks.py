@@ -100,3 +100,25 @@ def write_xlsx(rows: DataFrame, path: str, columns: tuple[str, ...]) -> None:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for name, text in parts.items():
             z.writestr(name, text)
+
+
+def write_packages(rows: DataFrame, path: str, key: str = "section_id") -> DataFrame:
+    """A text for each section in a folder of its own, a sidecar of metadata beside it, and a manifest; returns the manifest."""
+    rows.select(key, "content").write.mode("overwrite").partitionBy(key).text(f"{path}/text")
+    rows.drop("content").withColumn("content_hash", F.sha2(rows["content"], 256)).repartition(key).write.mode("overwrite").partitionBy(key).json(f"{path}/meta")
+    manifest = rows.agg(F.count("*").alias("texts"), F.count_distinct(key).alias("sections"))
+    manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+    return rows.sparkSession.read.json(f"{path}/manifest")
+
+
+def complete(rows: DataFrame, path: str, key: str = "section_id") -> bool:
+    """Does a package have as many texts as sidecars, and any?"""
+    spark = rows.sparkSession
+    texts, sidecars = spark.read.text(f"{path}/text", wholetext=True).count(), spark.read.json(f"{path}/meta").count()
+    return texts == sidecars > 0
+
+
+def changes_only(updates: DataFrame, seen: DataFrame, key: str, payload: str) -> DataFrame:
+    """Of a batch of updates those whose payload differs from what was last emitted for their key."""
+    before = seen.select(key, F.sha2(F.col(payload), 256).alias("_seen"))
+    return updates.join(before, key, "left").filter(~F.col("_seen").eqNullSafe(F.sha2(F.col(payload), 256))).drop("_seen")

@@ -205,3 +205,11 @@ def test_tables_and_workbooks(spark, tmp_path):
     assert sorted((r["test id"], r["answer"], r["none"]) for r in plans.collect()) == [("1", "c", ""), ("2", "e", "")]
     blocks = spark.createDataFrame([("d", 1, 2, "LINE", "two"), ("d", 1, 1, "LINE", "one"), ("d", 1, 1, "WORD", "x")], "document string, page int, line int, kind string, text string")
     assert files.recognised_pages(blocks).first()["text"] == "one\ntwo"
+
+
+def test_packages_and_changes(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "text one", "en"), ("b", "text two", "de")], "section_id string, content string, language string")
+    assert sinks.write_packages(rows, str(tmp_path / "p")).first()["texts"] == 2
+    assert sinks.complete(rows, str(tmp_path / "p"))
+    new = spark.createDataFrame([("a", "text one", "en"), ("b", "text 2", "de"), ("c", "x", "fr")], rows.schema)
+    assert sorted(r["section_id"] for r in sinks.changes_only(new, rows, "section_id", "content").collect()) == ["b", "c"]
