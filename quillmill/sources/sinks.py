@@ -105,7 +105,7 @@ def write_xlsx(rows: DataFrame, path: str, columns: tuple[str, ...]) -> None:
 def write_packages(rows: DataFrame, path: str, key: str = "section_id") -> DataFrame:
     """A text for each section in a folder of its own, a sidecar of metadata beside it, and a manifest; returns the manifest."""
     rows.select(key, "content").write.mode("overwrite").partitionBy(key).text(f"{path}/text")
-    rows.drop("content").withColumn("content_hash", F.sha2(rows["content"], 256)).repartition(key).write.mode("overwrite").partitionBy(key).json(f"{path}/meta")
+    rows.withColumn("content_hash", F.sha2("content", 256)).drop("content").repartition(key).write.mode("overwrite").partitionBy(key).json(f"{path}/meta")
     manifest = rows.agg(F.count("*").alias("texts"), F.count_distinct(key).alias("sections"))
     manifest.coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
     return rows.sparkSession.read.json(f"{path}/manifest")
