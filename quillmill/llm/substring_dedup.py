@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import stored, whole_rows, with_text
+from quillmill.llm.common import whole_rows, with_text
 
 WINDOW = 16
 RADIUS = 24
@@ -127,7 +127,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     A passage has a row in every document that holds it; ``removed`` is false where it
     is the first copy.  ``copies`` is the most occurrences of one of its chunks.
     """
-    found = stored(chunks(docs), "chunks")
+    found = chunks(docs)  # cut twice rather than stored: the rows are more than half as large as the texts
     place = F.struct("doc_id", "start")
     counted = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
     # rows that repeat an id and a text have the same place, so they alone make no copies
