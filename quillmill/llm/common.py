@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import itertools
 import os
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -32,8 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local[...] session without that setting gets a temporary folder.
     """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     master = spark.sparkContext.master
@@ -41,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     key = spark.sparkContext.applicationId
     if key not in _scratch:
-        _scratch[key] = "file://" + tempfile.mkdtemp(prefix="quillmill-")
+        folder = tempfile.mkdtemp(prefix="quillmill-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _scratch[key] = f"file://{folder}"
     return _scratch[key]
 
 
@@ -105,7 +109,9 @@ class Recent(dict):
     def missing(self, keys) -> list:
         """The keys that are not known; known old ones are taken over."""
         out, old = [], self.old
-        for k in {k for ks in keys for k in ks if k not in self}:
+        for k in set(itertools.chain.from_iterable(keys)):
+            if k in self:
+                continue
             found = old.get(k)
             if found is None:
                 out.append(k)
