@@ -28,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quillmill.llm.common import Recent
+
 #: Unicode's White_Space characters, which the split pattern's \s stands for.
 OTHER_WHITE = "\x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 WHITE = "\t-\r " + OTHER_WHITE
 ASCII_WHITE = " \t-\r"
-STATE_LIMIT = 400_000
-MEMO_LIMIT = 1_500_000
+STATE_LIMIT = 300_000
+PAIR_LIMIT = 600_000
+MEMO_LIMIT = 450_000
 NEVER = 1 << 62
 
 
@@ -110,7 +113,7 @@ class MergeTransducer:
             return True
         known = self.pairs.get((left, right))
         if known is None:
-            if len(self.pairs) > MEMO_LIMIT:
+            if len(self.pairs) > PAIR_LIMIT:
                 self.pairs.clear()
             a, b, token, rank = self._spine(left, 1), self._spine(right, 0), self.token, self.ranks.get
             i = j = 0
@@ -225,8 +228,7 @@ class Codec:
         # A run of ASCII white space always starts a match, unless other white space is around.
         self.chunks = re.compile(f"[{ASCII_WHITE}]*[^{ASCII_WHITE}]+|[{ASCII_WHITE}]+").findall
         self.odd = re.compile(f"[{OTHER_WHITE}]").search
-        self.memo: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.memo, self.parts = Recent(MEMO_LIMIT), Recent(MEMO_LIMIT)
         size = max(self.machine.token) + 1
         self.table = [self.machine.token.get(i, b"") for i in range(size)]
         self.decimal = [str(i) for i in range(size)]
@@ -234,7 +236,7 @@ class Codec:
     def _ids(self, text: str) -> bytes:
         memo, found = self.parts, []
         for p in self.pieces(text):
-            ids = memo.get(p)
+            ids = memo.get(p) or memo.old.get(p)
             if ids is None:
                 ids = self.machine.encode(p.encode("utf-8", "surrogatepass"))
                 ids = memo[p] = struct.pack(f"<{len(ids)}I", *ids)
@@ -245,12 +247,10 @@ class Codec:
         if self.odd(text):
             return np.frombuffer(self._ids(text), "<u4")
         chunks, memo = self.chunks(text), self.memo
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
-            self.parts.clear()
-        for c in chunks:
-            if c not in memo:
-                memo[c] = self._ids(c)
+        memo.turn()
+        self.parts.turn()
+        for c in memo.missing([chunks]):
+            memo[c] = self._ids(c)
         return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), "<u4")
 
     def decode_stream(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:

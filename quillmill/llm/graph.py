@@ -39,7 +39,8 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link each larger neighbour of a node to the smallest node of its neighbourhood."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+    # written, so that the join below is one of plain tables, which Spark splits at a hub's many edges
+    least = stored(least.select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "least")
     up = edges.join(least, edges["b"] == least["node"]).select(F.col("a"), F.col("m").alias("b"))
     return up.filter("a <> b").distinct()
 
@@ -47,6 +48,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
 def _small_star(edges: DataFrame) -> DataFrame:
     """Link the smaller neighbours of a node, and itself, to the smallest of them."""
     least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select(F.col("a").alias("node"), "m")
+    least = stored(least.select(F.col("a").alias("node"), "m"), "least")
     down = edges.join(least, edges["a"] == least["node"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
     return _ordered(down.unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b"))))

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import whole_rows, with_text
+from quillmill.llm.common import stored, whole_rows, with_text
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
@@ -105,15 +105,23 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return rows.filter(F.col("spans").isNotNull())
 
 
-def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, blob and ``spans`` of each row: the ledger, old and new rows, joined back."""
+def blob_findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and ``spans`` of the blobs in which something was found, from old and new ledger rows.
+
+    They are written before they are joined back: Spark then splits the join where very many paths have one blob.
+    """
     new = scan(docs, ledger, rules)
     versions = list(dict.fromkeys(r.version for r in rules))
     rows = new if ledger is None else new.unionByName(ledger.filter(F.col("version").isin(versions)).select("blob", "version", "spans"))
-    nothing = F.array().cast(SPAN)
-    of_blob = rows.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # a row for each rule version at most
+    return stored(rows.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "findings")
+
+
+def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, blob and ``spans`` of each row."""
     paths = blob_table(docs).select("doc_id", "blob")
-    return paths.join(of_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", nothing).alias("spans"))
+    nothing = F.array().cast(SPAN)
+    return paths.join(blob_findings(docs, ledger, rules), "blob", "left").select("doc_id", "blob", F.coalesce("spans", nothing).alias("spans"))
 
 
 def _named(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -153,7 +161,7 @@ def append_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -
 def masked(docs: DataFrame, mark: str = "[secret]", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of ``docs`` with every finding in ``text`` replaced by ``mark``; overlapping findings become one."""
     named = whole_rows(docs).withColumn("_blob", F.sha2(F.coalesce(F.col("t"), F.lit("")), 256))
-    found = findings(docs.select("doc_id", "text"), ledger, rules).filter(F.size("spans") > 0).groupBy(F.col("blob").alias("_blob")).agg(F.first("spans").alias("_spans"))
+    found = blob_findings(docs.select("doc_id", "text"), ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, x: Column) -> Column:

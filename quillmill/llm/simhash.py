@@ -106,7 +106,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, cell_limit: int = CELL_
         .select("fp", "u", F.col("c.k").alias("k"), F.col("u").bitwiseAND(F.col("c.m")).alias("cell"))
     )
     cells = stored(cells, "cells")
-    sizes = cells.groupBy("k", "cell").agg(F.count("*").alias("n")).filter("n > 1")
+    # written before it is joined: a join of plain tables is split where a cell is dense
+    sizes = stored(cells.groupBy("k", "cell").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = stored(cells.join(sizes, ["k", "cell"]), "shared")
     few = shared.filter(F.col("n") <= cell_limit)
     left = few.select("k", "cell", F.col("fp").alias("a"), F.col("u").alias("ua"))
@@ -229,7 +230,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
     # class fingerprints, at distance zero: a cell's members are paired with its least and its greatest one
     parts = texts.select("rep", F.explode("parts").alias("p")).select("rep", "p.c", "p.f", embedding(F.col("p.f")).alias("u"))
-    cells = parts.groupBy("c", "u", "f").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most")
+    cells = stored(parts.groupBy("c", "u", "f").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most"), "cells")
     met = parts.join(cells, ["c", "u", "f"]).select(F.col("rep").alias("x"), F.explode(F.array("least", "most")).alias("y"))
 
     pairs = whole.unionByName(same).unionByName(met).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()

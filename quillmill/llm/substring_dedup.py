@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import whole_rows, with_text
+from quillmill.llm.common import stored, whole_rows, with_text
 
 WINDOW = 16
 RADIUS = 24
@@ -132,6 +132,7 @@ def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame
     counted = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
     # rows that repeat an id and a text have the same place, so they alone make no copies
     again = counted.filter(F.col("first") != F.col("last")).select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies")
+    again = stored(again, "again")  # so that the join is one of plain tables, which Spark splits at a very common digest
     held = found.join(again, ["h1", "h2"]).select(
         "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "copies", "first_doc_id",
         ((F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") != F.col("first_start"))).alias("removed"),

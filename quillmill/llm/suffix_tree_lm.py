@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import bucket, stored
 
 DEPTH = 5
-LEAST_SHARE = 2e-5
+LEAST_SHARE = 5e-6
 HOT_SHARE = 1e-6
 END = b"\n"
 BATCH_BYTES = 8_000_000
@@ -213,8 +213,8 @@ def build_tree(entries: pd.DataFrame, depth: int = DEPTH) -> SuffixTree:
     root = np.zeros(256)
     own = entries[entries["d"] == 0]
     root[own["code"].to_numpy(np.int64)] = own["n"].to_numpy(float)
-    table = [(root + 0.5) / (root.sum() + 128)]
-    tree = SuffixTree(depth, contexts, rows, np.array(table))
+    table = ((root + 0.5) / (root.sum() + 128)).astype(np.float32)[None]
+    tree = SuffixTree(depth, contexts, rows, table)
     for d in range(1, depth + 1):
         own = entries[entries["d"] == d].sort_values("code")
         code, n = own["code"].to_numpy(np.int64), own["n"].to_numpy(float)
@@ -224,18 +224,16 @@ def build_tree(entries: pd.DataFrame, depth: int = DEPTH) -> SuffixTree:
             continue
         total, kinds = np.bincount(at, weights=n), np.bincount(at).astype(float)
         parent = tree.states(states)
-        base = np.array(table)
-        gain = np.bincount(at, weights=n * np.log(n / total[at] / base[parent[at], byte]))
+        gain = np.bincount(at, weights=n * np.log(n / total[at] / table[parent[at], byte]))
         stays = gain > 0.5 * kinds * np.log(np.maximum(total, 2))
         number = np.cumsum(stays) - 1
-        grown = kinds[stays, None] * base[parent[stays]]
+        grown = table[parent[stays]] * kinds[stays, None].astype(np.float32)
         mine = stays[at]
-        np.add.at(grown, (number[at[mine]], byte[mine]), n[mine])
+        np.add.at(grown, (number[at[mine]], byte[mine]), n[mine].astype(np.float32))
         grown /= (total + kinds)[stays, None]
         contexts[d], rows[d] = states[stays], len(table) + np.arange(int(stays.sum()))
-        table.extend(grown)
-        tree = SuffixTree(depth, contexts, rows, np.array(table))
-    tree.logs = np.log10(np.array(table)).astype(np.float32)
+        table = np.concatenate([table, grown])
+    tree.logs = np.log10(table)
     return tree
 
 
