@@ -26,6 +26,7 @@ smallest doc_id; null ids are ignored there, and a component without others has
 from __future__ import annotations
 
 import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -138,20 +139,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     return prints.join(named, "fp").select("doc_id", hexadecimal, "component_id")
 
 
-# Similar texts (Jaccard similarity of shingle sets) by fingerprints of parts.
+# Similar texts (Jaccard similarity of shingle sets) by an exact prefix-filter join.
 #
-# Texts that share four fifths of their shingles differ in about ten of 64 bits, too many
-# for a grid.  But the shingles of a text can be dealt to classes by their own hash, with
-# about CLASS_SHINGLES in each; of CLASSES such classes of two similar texts some are very
-# likely equal, and then so are their fingerprints.  Those are joined by the same cells,
-# at distance zero, next to the whole fingerprints at distance two, and every pair that
-# meets is compared exactly.  The number of classes doubles with the size of a text; each
-# text takes part at two neighbouring numbers, so that similar sizes have one in common.
+# All shingles have one order.  Two sets of the similarity share so much that the first
+# shingles of each, a fifth of it and one more, have one in common: those are the cells
+# that a text is a member of, and every pair of the similarity meets in one, whatever the
+# lengths.  The order may be any; shingles that a sample of the texts finds often come
+# last, so that passages of many texts make few large cells.
 
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
-CLASSES = 24
-CLASS_SHINGLES = 8
+SAMPLE = 16
+OFTEN = 4
+LATE_LIMIT = 200_000  # shingles that come last; which ones they are changes the work and not the result
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -169,31 +169,34 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)], np.uint64))
 
 
-def class_fingerprints(hashes: np.ndarray) -> list[tuple[int, int]]:
-    """(class, fingerprint) of the classes of a text; a class names its number of classes too."""
-    out: list[tuple[int, int]] = []
+def prefix(hashes: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a text: those of ``late`` (sorted) come after all others, else the hash is the order."""
     if not len(hashes):
-        return out
-    level = max(0, int(len(hashes) / CLASS_SHINGLES).bit_length() - 1)
-    for lv in (level, level + 1):
-        of = (hashes >> np.uint64(40) & np.uint64((1 << lv) - 1)).astype(np.int64)
-        chosen = of < CLASSES
-        order = np.argsort(of[chosen], kind="stable")
-        of, h = of[chosen][order], hashes[chosen][order]
-        if not len(h):
-            continue
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
-        sums, sizes = np.add.reduceat(bits, starts, axis=0), np.diff(np.append(starts, len(h)))
-        fps = np.packbits(2 * sums > sizes[:, None], axis=1, bitorder="little").view("<i8").reshape(-1)
-        out += [(lv * CLASSES + int(c), int(f)) for c, f in zip(of[starts].tolist(), fps.tolist(), strict=True)]
-    return out
-
-
-def sketches(docs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
-    """doc_id, digest of the words (two longs), whole fingerprint and class fingerprints."""
-    schema = "doc_id long, h1 long, h2 long, fp long, parts array<struct<c:int,f:long>>"
-    part = pa.list_(pa.struct([("c", pa.int32()), ("f", pa.int64())]))
+        return hashes
+    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+    if len(late):
+        often = late[np.minimum(np.searchsorted(late, hashes), len(late) - 1)] == hashes
+        hashes = np.concatenate([hashes[~often], hashes[often]])
+    return hashes[:n]
+
+
+def frequent_shingles(docs: DataFrame, size: int = STAGE_SHINGLE) -> np.ndarray:
+    """Sorted hashes of the shingles that a sample of the texts has often, the most frequent ones if they are many."""
+
+    def run(batches):
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                yield pa.record_batch([pa.array(shingle_hashes(x, size).view(np.int64))], ["s"])
+
+    sample = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    rows = counts.orderBy(F.desc("n"), "s").limit(LATE_LIMIT).select("s").collect()
+    return np.sort(np.array([r["s"] for r in rows], np.int64).view(np.uint64))
+
+
+def sketches(docs: DataFrame, late: np.ndarray, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
+    """doc_id, digest of the words (two longs), number of shingles and the first shingles."""
+    schema = "doc_id long, h1 long, h2 long, n int, parts array<long>"
 
     def run(batches):
         import xxhash
@@ -202,45 +205,36 @@ def sketches(docs: DataFrame, size: int = STAGE_SHINGLE) -> DataFrame:
             texts = b.column(1).to_pylist()
             two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8").lower().split())) for x in texts), "<i8").reshape(-1, 2)
             hashes = [shingle_hashes(x, size) for x in texts]
-            fps = np.array([_majority(h) for h in hashes], np.uint64).view(np.int64)
-            parts = pa.array([[{"c": c, "f": f} for c, f in class_fingerprints(h)] for h in hashes], part)
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), pa.array(fps), parts], ["doc_id", "h1", "h2", "fp", "parts"])
+            parts = pa.array([prefix(h, late, similarity).view(np.int64) for h in hashes], pa.list_(pa.int64()))
+            n = pa.array([len(h) for h in hashes], pa.int32())
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), n, parts], ["doc_id", "h1", "h2", "n", "parts"])
 
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, schema)
 
 
-def _majority(hashes: np.ndarray) -> int:
-    counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        counts += np.unpackbits(hashes[at : at + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
-
-
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
     """doc_id and ``root``: the smallest id of the group that similar texts form."""
-    every = stored(sketches(docs, size), "sketches")
-    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("parts").alias("parts")), "texts")
-
-    # whole fingerprints, at distance two: their grid join links fingerprints, each stands for its texts
-    by_print = texts.groupBy("fp").agg(F.min("rep").alias("least"))
-    edges = stored(links(by_print.select("fp")), "links")
-    of = by_print.select(F.col("fp").alias("a"), F.col("least").alias("x")), by_print.select(F.col("fp").alias("b"), F.col("least").alias("y"))
-    whole = edges.join(of[0], "a").join(of[1], "b").select("x", "y")
-    same = texts.join(by_print, "fp").select(F.col("rep").alias("x"), F.col("least").alias("y"))
-
-    # class fingerprints, at distance zero: a cell's members are paired with its least and its greatest one
-    parts = texts.select("rep", F.explode("parts").alias("p")).select("rep", "p.c", "p.f", embedding(F.col("p.f")).alias("u"))
-    cells = stored(parts.groupBy("c", "u", "f").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most"), "cells")
-    met = parts.join(cells, ["c", "u", "f"]).select(F.col("rep").alias("x"), F.explode(F.array("least", "most")).alias("y"))
-
-    pairs = whole.unionByName(same).unionByName(met).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = stored(pairs, "pairs")
-    alike = stored(verified(pairs, docs, similarity, size), "alike")
+    every = stored(sketches(docs, frequent_shingles(docs, size), similarity, size), "sketches")
+    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")), "texts")
+
+    members = texts.select("rep", "n", F.explode("parts").alias("s"))
+    cells = members.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("rep", "n")).alias("most"), F.count("*").alias("k"))
+    shared = stored(members.join(stored(cells.filter("k > 1"), "cells"), "s"), "shared")
+
+    # a cell's members are paired with its least and its greatest one
+    met = shared.select(F.col("rep").alias("x"), "n", F.explode(F.array("least", "most")).alias("y")).filter(_sizes("n", "y.n", similarity))
+    pairs = met.select("x", F.col("y.rep").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    alike = stored(verified(stored(pairs, "pairs"), docs, similarity, size), "alike")
     roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
     named = texts.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     return every.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "root")
 
 
+def _sizes(n: str, m: str, similarity: float) -> Column:
+    """Whether sets of so many shingles can have the similarity."""
+    return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (x, y) whose texts have the similarity, compared by their whole shingle sets."""
     asked = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()

@@ -362,6 +362,25 @@ def test_similar_groups_match_brute_force(spark):
     assert {r["doc_id"] for r in simhash.keep_first(docs).select("doc_id").collect()} == {d for d in got if got[d] == d}
 
 
+@pytest.mark.parametrize("words", [9, 16, 19, 32, 60, 67, 130, 260])
+def test_similar_texts_of_any_length_meet(spark, words):
+    r, rows, want = random.Random(words), [], 0
+    for k in range(150):
+        text = [f"w{r.randrange(10**9)}" for _ in range(words)]
+        other = list(text)
+        while True:  # change words at the end, where a change costs one shingle, while the similarity lasts
+            trial = [*other[:-1], "x"] if other == text else [*other, f"y{r.randrange(10**9)}"]
+            a, b = (set(simhash.shingle_hashes(" ".join(x), 5).tolist()) for x in (text, trial))
+            if len(a & b) < 0.8 * len(a | b):
+                break
+            other = trial
+        want += other != text
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join(other))]
+    roots = {q["doc_id"]: q["root"] for q in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert want == 150 or words == 9
+    assert sum(roots[2 * k + 1] == 2 * k for k in range(150)) == 150
+
+
 # 9: media
 
 
