@@ -146,11 +146,21 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
 # that a text is a member of, and every pair of the similarity meets in one, whatever the
 # lengths.  The order may be any; shingles that a sample of the texts finds often come
 # last, so that passages of many texts make few large cells.
+#
+# Pairs are many where copies are many, so links come first: each member of a cell is
+# compared with the cell's least id and with its most central member, which has most
+# shingles in common with others (of many edited copies, the original).  Then all pairs
+# that meet and are not linked yet are compared too: by a join in small cells, where the
+# number of cells that a pair shares must reach what the similarity asks for, and by
+# blocks of members in dense cells.
 
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
 SAMPLE = 16
 OFTEN = 4
+PAIR_LIMIT = 64  # members of a cell that is joined pairwise
+BLOCK_ROWS = 256
+COLUMNS = 4096
 LATE_LIMIT = 200_000  # shingles that come last; which ones they are changes the work and not the result
 
 
@@ -218,13 +228,19 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")), "texts")
 
     members = texts.select("rep", "n", F.explode("parts").alias("s"))
-    cells = members.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("rep", "n")).alias("most"), F.count("*").alias("k"))
-    shared = stored(members.join(stored(cells.filter("k > 1"), "cells"), "s"), "shared")
-
-    # a cell's members are paired with its least and its greatest one
-    met = shared.select(F.col("rep").alias("x"), "n", F.explode(F.array("least", "most")).alias("y")).filter(_sizes("n", "y.n", similarity))
+    cells = stored(members.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1"), "cells")
+    shared = stored(members.join(cells, "s"), "shared")
+    # a text's weight is the number of its shingles that others have
+    weights = stored(shared.groupBy("rep").agg(F.count("*").alias("w")), "weights")
+    weighed = stored(shared.join(weights, "rep"), "weighed")
+    ends = weighed.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("w", F.negative("rep").alias("r"), "rep", "n")).alias("most"))
+    ends = stored(ends.select("s", "least", F.struct("most.rep", "most.n").alias("most")), "ends")
+
+    met = shared.join(ends, "s").select(F.col("rep").alias("x"), "n", F.explode(F.array("least", "most")).alias("y")).filter(_sizes("n", "y.n", similarity))
     pairs = met.select("x", F.col("y.rep").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     alike = stored(verified(stored(pairs, "pairs"), docs, similarity, size), "alike")
+    roots = stored(components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "linked"), "linked-roots")
+    alike = alike.unionByName(stored(unlinked(shared, roots, docs, similarity, size), "alike"))
     roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
     named = texts.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     return every.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "root")
@@ -235,6 +251,86 @@ def _sizes(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
 
 
+def unlinked(shared: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Similar pairs (x, y) of members of one cell that have different roots, at least one for each two roots that have any."""
+    rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = stored(rooted, "rooted")
+    by_root = stored(rooted.groupBy("s", "root").agg(F.count("*").alias("c")), "by-root")
+    main = by_root.groupBy("s").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("k"), F.count("*").alias("roots")).filter("roots > 1")
+    main = main.select("s", F.col("m.root").alias("main"), (F.col("k") - F.col("m.c")).alias("others"))
+    mixed = stored(rooted.join(stored(main, "mixed-cells"), "s"), "mixed")
+
+    # small cells; the count is of all that a pair shares unless it shares a dense one, where it is compared anyway
+    few = mixed.filter(F.col("k") <= PAIR_LIMIT)
+    side = lambda k: few.select("s", F.col("rep").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}"))
+    pairs = side("x").join(side("y"), "s").filter((F.col("x") < F.col("y")) & (F.col("rx") != F.col("ry")) & _sizes("nx", "ny", similarity))
+    pairs = pairs.groupBy("x", "y").agg(F.count("*").alias("c"), F.first("nx").alias("nx"), F.first("ny").alias("ny"))
+    need = (F.col("nx") + F.col("ny")) * (similarity / (1 + similarity)) - 1e-6
+    # shingles in common that are not among the first of both lie beyond the first ones of one of them
+    rest = F.ceil(F.greatest("nx", "ny") * similarity - 1e-6) - 1
+    small = verified(stored(pairs.filter(F.col("c") + rest >= need).select("x", "y"), "pairs"), docs, similarity, size)
+
+    # dense cells: the members outside the main root against all, block by block
+    many = mixed.filter(F.col("k") > PAIR_LIMIT)
+    rows, cols = F.ceil(F.col("others") / BLOCK_ROWS).cast("int"), F.ceil(F.col("k") / BLOCK_ROWS).cast("int")
+    draw = F.xxhash64("rep", F.lit(SEED))
+    left = many.filter("root <> main").select("s", "rep", "root", F.lit(0).alias("side"), F.pmod(draw, rows).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("j"))
+    right = many.select("s", "rep", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), F.pmod(draw, cols).cast("int").alias("j"))
+    texts = stored(_hashed(docs, many.select(F.col("rep").alias("doc_id")).distinct(), size), "hashed").withColumnRenamed("doc_id", "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        side, rep, root = (table.column(k).to_numpy() for k in ("side", "rep", "root"))
+        sets = [np.frombuffer(h, np.uint64) for h in table.column("h").to_pylist()]
+        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        x, y = np.nonzero(alike_sets([sets[i] for i in a], [sets[i] for i in b], similarity))
+        x, y = a[x], b[y]
+        new = root[x] != root[y]
+        x, y = x[new], y[new]
+        ends = np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])], axis=1)
+        once = np.unique(ends, axis=0, return_index=True)[1] if len(ends) else np.zeros(0, np.int64)
+        return pa.table({"x": pa.array(rep[x[once]], pa.int64()), "y": pa.array(rep[y[once]], pa.int64())})
+
+    dense = left.unionByName(right).join(texts, "rep").groupBy("s", "i", "j").applyInArrow(compare, "x long, y long")
+    return small.unionByName(dense).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def alike_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets on the left have the similarity with which on the right, by products of incidence matrices."""
+    sizes = np.array([len(x) for x in left], np.int64), np.array([len(x) for x in right], np.int64)
+    shared = np.zeros((len(left), len(right)), np.float64)
+    if not shared.size:
+        return shared > 0
+    own = [np.repeat(np.arange(len(n)), n) for n in sizes]
+    hashes = [np.concatenate(x) for x in (left, right)]
+    common = np.intersect1d(np.unique(hashes[0]), np.unique(hashes[1]), assume_unique=True)
+    at = [np.searchsorted(common, h) for h in hashes]
+    known = [(p < len(common)) & (common[np.minimum(p, max(0, len(common) - 1))] == h) if len(common) else np.zeros(len(h), bool) for p, h in zip(at, hashes, strict=True)]
+    own, at = [o[k] for o, k in zip(own, known, strict=True)], [p[k] for p, k in zip(at, known, strict=True)]
+    order = [np.argsort(p, kind="stable") for p in at]
+    own, at = [o[k] for o, k in zip(own, order, strict=True)], [p[k] for p, k in zip(at, order, strict=True)]
+    for begin in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - begin)
+        part = []
+        for o, p, n in zip(own, at, sizes, strict=True):
+            lo, hi = np.searchsorted(p, [begin, begin + width])
+            m = np.zeros((len(n), width), np.float32)
+            m[o[lo:hi], p[lo:hi] - begin] = 1
+            part.append(m)
+        shared += part[0] @ part[1].T
+    return shared >= similarity * (sizes[0][:, None] + sizes[1][None, :] - shared)
+
+
+def _hashed(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
+    """doc_id and ``h``, the shingle hashes of its text, of the documents asked for."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([shingle_hashes(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "h"])
+
+    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return texts.mapInArrow(run, "doc_id long, h binary")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
     """The pairs (x, y) whose texts have the similarity, compared by their whole shingle sets."""
     asked = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()

@@ -381,6 +381,46 @@ def test_similar_texts_of_any_length_meet(spark, words):
     assert sum(roots[2 * k + 1] == 2 * k for k in range(150)) == 150
 
 
+@pytest.mark.parametrize("limit", [4, 64])
+def test_copies_of_an_original_with_a_middle_id(spark, monkeypatch, limit):
+    """Edited copies, similar to the original and not to one another, and two such copies that are similar to each other alone."""
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 16)
+    r = random.Random(11)
+    original = [f"w{k}" for k in range(300)]
+
+    def edited(text, times):
+        out = list(text)
+        for at in r.sample(range(5, 290), times):
+            out[at] = f"z{r.randrange(10**9)}"
+        return out
+
+    rows = {k: edited(original, 5) for k in range(200)} | {100: original}
+    far = edited(original, 20)
+    rows |= {300: far, 90: edited(far, 3), 400: edited(original, 20)}
+    sets = {k: set(simhash.shingle_hashes(" ".join(x), 5).tolist()) for k, x in rows.items()}
+    root = {k: k for k in rows}
+    for _ in range(5):
+        for a, b in itertools.combinations(sorted(rows), 2):
+            shared = len(sets[a] & sets[b])
+            if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+                root[a] = root[b] = min(root[a], root[b])
+    docs = spark.createDataFrame([(k, " ".join(x)) for k, x in rows.items()], "doc_id long, text string")
+    assert {q["doc_id"]: q["root"] for q in simhash.similar_groups(docs).collect()} == root
+    # without the original, the copies meet in dense cells and are compared with one another
+    docs = docs.filter("doc_id <> 100")
+    got = {q["doc_id"]: q["root"] for q in simhash.similar_groups(docs).collect()}
+    assert got[300] == got[90] == 90 and got[400] == 400
+
+
+def test_blocks_compare_exactly():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 2**62, 6000).astype(np.uint64)
+    some = [np.unique(base[r.integers(0, 50) : r.integers(4000, 6000)]) for _ in range(30)] + [np.zeros(0, np.uint64), np.arange(9, dtype=np.uint64)]
+    want = [[len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)) for b in some[:20]] for a in some]
+    assert simhash.alike_sets(some, some[:20], 0.8).tolist() == want
+
+
 # 9: media
 
 
