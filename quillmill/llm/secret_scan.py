@@ -35,17 +35,23 @@ class Rule:
     least: int = 0  # characters of the group
 
 
+#: A key to its end line; without one, over the base64 lines that follow; else the header alone.
+PRIVATE_KEY = (
+    r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"
+    r"(?:[^-]*(?:-[^-]+){0,40}-----END [A-Z ]{0,30}PRIVATE KEY-----|[\x20\t]*[\r\n]+[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\r\n]*)?"
+)
+
 #: Kinds in the order in which they are listed at equal starts.  A least length inside a
 #: pattern says the same as dropping shorter matches, where those are maximal runs.
 RULES: tuple[Rule, ...] = (
     Rule("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "base-1", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]{14,}", "base-1"),
     Rule("hex", r"[0-9a-f]{16,}", "base-1"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", "keys-1"),
-    Rule("code_host", r"gh[opsru]_[A-Za-z0-9]{36,}", "keys-1"),
-    Rule("chat", r"xox[abeprs]-[A-Za-z0-9-]{10,}", "keys-1"),
-    Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", "keys-1"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "keys-1"),
+    Rule("private_key", PRIVATE_KEY, "keys-2"),
+    Rule("code_host", r"gh[opsru]_[A-Za-z0-9]{36,}", "keys-2"),
+    Rule("chat", r"xox[abeprs]-[A-Za-z0-9-]{10,}", "keys-2"),
+    Rule("payment", r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}", "keys-2"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "keys-2"),
 )
 BASE = 3  # of RULES
 

@@ -270,6 +270,25 @@ def test_masking(spark):
     assert row["text"] == '[secret]" end' and row["n_chars"] == len(row["text"])
 
 
+def test_whole_keys_are_masked(spark):
+    r = random.Random(4)
+    body = "\n".join("".join(r.choice("ABCDEFabcdef0123456789+/") for _ in range(64)) for _ in range(26)) + "\nabc=\n"
+    kind = "RSA " + "PRIVATE KEY-----"
+    head, end = f"-----BEGIN {kind}\n", f"-----END {kind}"
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n"
+    rows = [
+        (1, f"before {head}{body}{end} after", "before [secret] after"),
+        (2, f"before {head}{info}{body}{end}\n{head}{body}{end} after", "before [secret]\n[secret] after"),
+        (3, f"before {head}{body} after, well-known", "before [secret] after, well-known"),
+        (4, f"a line {head.strip()} is a header", "a line [secret] is a header"),
+        (5, f"{head}Some words - or more.", "[secret]\nSome words - or more."),
+    ]
+    docs = spark.createDataFrame([(d, x) for d, x, _ in rows], "doc_id long, text string")
+    assert {q["doc_id"]: q["text"] for q in secret_scan.masked(docs).collect()} == {d: x for d, _, x in rows}
+    spans = {q["doc_id"]: q["spans"] for q in secret_scan.secrets(docs).collect()}
+    assert f"private_key:7:{len(rows[0][1]) - 6}" in spans[1].split(",")
+
+
 # 8: near duplicates
 
 
