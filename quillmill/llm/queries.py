@@ -51,10 +51,9 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmill.llm.suffix_tree_lm import fit, scored
+    from quillmill.llm.suffix_tree_lm import scored
 
-    docs = documents(prepare(spark), sf_dir)
-    return scored(docs, fit(docs))
+    return scored(documents(prepare(spark), sf_dir))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,324 +3,223 @@
 Texts become their words in lower case (A-Z), joined by single spaces and closed by an
 end symbol; symbols are bytes.
 
-Learning.  Each task counts the grams of ``DEPTH`` + 1 bytes and the words of its
-training rows; both are summed over all of them.  A gram's count is also one of each
-shorter context before its last byte.  A context is a candidate if it makes up at least
-``LEAST_SHARE`` of all places, so there are at most DEPTH / LEAST_SHARE of them whatever
-the size of the corpus; that bounds what goes to the driver and to the tasks.  It becomes
-a state if its next bytes differ from those of its longest state suffix by more than the
-cost of describing them (n times the Kullback-Leibler divergence against k / 2 log n).
-Next-symbol distributions are smoothed towards that suffix by Witten and Bell's rule,
-and at the root towards all bytes alike.
-
-Scoring.  A byte is predicted by the state of the longest suffix before it.
-
-Base.  Words of a share of ``HOT_SHARE`` or more (at most 1 / HOT_SHARE of them) are
-looked up in the task; all others go through a join with the word counts.
+Groups.  Each task gathers its rows in groups of about ``GROUP_BYTES`` and writes, once,
+the texts of a group (compressed) with its distinct grams of ``depth`` + 1 bytes and its
+distinct words, each with its count in training rows (0 where only others hold it).
+
+Learning.  Grams are summed over all groups; those of each shorter context are sums of
+the longer ones.  Level by level, a join gives each (context, next byte) its probability
+under the longest shorter state.  A context becomes a state if it occurs ``LEAST`` times
+and its next bytes differ from those of that state by more than the cost of describing
+them (n times the Kullback-Leibler divergence against k / 2 log n).  Its next-symbol
+distribution is smoothed towards that state's by Witten and Bell's rule, and at the root
+towards all bytes alike.  The tree is a table: it grows with the corpus, and neither the
+driver nor a task holds it.
+
+Scoring.  A byte is predicted by the state of the longest suffix before it.  What that
+gives is known for each distinct gram, so a group gets the probabilities of its own
+grams (and the counts of its own words) by a join, and meets its texts in one task.
+Nothing is broadcast.
 
 Null, empty and blank texts consist of the end symbol alone.  A null id counts as a
 training row.  Repeated rows each get their result.  With no training rows the base has
-N = V = 0 and the tree is its root.
+N = V = 0 and the tree is its root.  Further columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import bucket, stored
 
-DEPTH = 5
-LEAST_SHARE = 5e-6
-HOT_SHARE = 1e-6
+DEPTH = 5  # bytes of the longest context; a gram is one byte more, seven at most
+LEAST = 16
 END = b"\n"
-BATCH_BYTES = 8_000_000
-SCORE_BYTES = 1_000_000
-MERGE_AT = 3_000_000
+GROUP_BYTES = 16_000_000
+GROUP_ROWS = 200_000
+PART_BYTES = 1_000_000
+SLICE = 1_000_000
+_PACKED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("line", pa.binary())])
+_NAMES = ["g", "texts", "gram", "word", "n"]
+_KINDS = [pa.int64(), pa.binary(), pa.int64(), pa.string(), pa.int32()]
+_GROUPED = "g long, texts binary, gram long, word string, n int"
 
 
 def symbols(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8").lower().split()
 
 
-def grams(lines: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """Grams of all lines (the predicted byte lowest), and how many each line has.
+def places(lines: list[bytes], depth: int = DEPTH) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The gram of each predicted byte (which is the lowest of its number), and the line it is in, by slices.
 
     A line is closed by the end symbol and opened by ``depth`` of them, which are not predicted.
     """
     pad = END * depth
     raw = np.frombuffer(b"".join([pad + x + END for x in lines]), np.uint8)
-    sizes = np.array([len(x) + 1 for x in lines], np.int64)
-    code = np.zeros(len(raw) - depth, np.int64)
-    for k in range(depth + 1):
-        code |= raw[depth - k : len(raw) - k].astype(np.int64) << (8 * k)
-    starts = np.cumsum(sizes + depth) - sizes - depth
-    keep = np.ones(len(code), bool)
-    for k in range(depth):  # what would predict a later line's opening
-        at = starts[1:] - depth + k
-        keep[at[at >= 0]] = False
-    return code[keep], sizes
-
-
-def _parts(rows: list, size, most: int = BATCH_BYTES) -> list[list]:
+    sizes = np.array([len(x) + 1 + depth for x in lines], np.int64)
+    predicted = np.ones(len(raw), bool)
+    predicted[((np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)).reshape(-1)] = False
+    own = np.repeat(np.arange(len(lines), dtype=np.int32), sizes)
+    for lo in range(depth, len(raw), SLICE):
+        hi = min(lo + SLICE, len(raw))
+        code = raw[lo:hi].astype(np.int64)
+        for k in range(1, depth + 1):
+            code |= raw[lo - k : hi - k].astype(np.int64) << (8 * k)
+        keep = predicted[lo:hi]
+        yield code[keep], own[lo:hi][keep]
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return found, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(found)).astype(np.int64)
+
+
+def _parts(rows: list, size, most: int = PART_BYTES) -> Iterator[list]:
     """Cut a list so that the sizes of a part add up to about ``most``."""
-    parts, total = [[]], 0
+    part, total = [], 0
     for r in rows:
-        if total > most:
-            parts.append([])
-            total = 0
-        parts[-1].append(r)
+        part.append(r)
         total += size(r)
-    return parts
-
-
-def training_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """Counts over the training rows: of words (``word`` set) and of grams (``gram`` set)."""
-    names = ["word", "gram", "n"]
+        if total > most:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
+def gram_counts(lines: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of all lines, in order, and how often each occurs."""
+    parts, kept = [], 0
+    for part in _parts(lines, len, 4 * PART_BYTES):
+        for code, _ in places(part, depth):
+            parts.append(np.unique(code, return_counts=True))
+            kept += len(parts[-1][0])
+            if kept > 4 * SLICE and len(parts) > 1:
+                parts = [_merged(parts)]
+                kept = len(parts[0][0])
+    return _merged(parts)
+
+
+def grouped(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """Rows of groups ``g``: packed ``texts``, or a ``gram`` or ``word`` of the group with its training count ``n``."""
+
+    def batch(g: int, **columns) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        given = {"g": pa.array(np.full(n, g)), **columns}
+        return pa.record_batch([given.get(name, pa.nulls(n, kind)) for name, kind in zip(_NAMES, _KINDS, strict=True)], _NAMES)
+
+    def rows_of(g: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(rows, lambda r: len(r[2])):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _PACKED, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _PACKED, strict=True)], schema=_PACKED))
+            yield batch(g, texts=pa.array([sink.getvalue().to_pybytes()], pa.binary()))
+        mine, other = [x for _, held, x in rows if not held], [x for _, held, x in rows if held]
+        codes, counts = gram_counts(mine, depth)
+        unseen = np.setdiff1d(gram_counts(other, depth)[0], codes, assume_unique=True)
+        codes, counts = np.concatenate([codes, unseen]), np.concatenate([counts, np.zeros(len(unseen), np.int64)])
+        for at in range(0, len(codes), 100_000):
+            yield batch(g, gram=pa.array(codes[at : at + 100_000]), n=pa.array(counts[at : at + 100_000].astype(np.int32)))
+        words = Counter()
+        for x in mine:
+            words.update(x.split(b" "))
+        for x in other:
+            for w in x.split(b" "):
+                words.setdefault(w, 0)
+        words.pop(b"", None)
+        words[END] = len(mine)
+        every = list(words.items())
+        for at in range(0, len(every), 100_000):
+            part = every[at : at + 100_000]
+            yield batch(g, word=pa.array([w.decode() for w, _ in part], pa.string()), n=pa.array([n for _, n in part], pa.int32()))
 
     def run(batches):
-        from collections import Counter
+        first, rows, size, k = TaskContext.get().partitionId() << 32, [], 0, 0
+        for b in batches:
+            for d, x, held in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                line = b" ".join(symbols(x))
+                rows.append((d, held, line))
+                size += len(line)
+                if size > GROUP_BYTES or len(rows) >= GROUP_ROWS:
+                    yield from rows_of(first + k, rows)
+                    rows, size, k = [], 0, k + 1
+        if rows:
+            yield from rows_of(first + k, rows)
 
-        codes, counts, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), Counter()
+    held = F.coalesce(bucket(F.col("doc_id"), 10) == 0, F.lit(False))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held.alias("held_out")).mapInArrow(run, _GROUPED)
 
-        def words_out():
-            yield pa.record_batch([pa.array([w.decode() for w in seen], pa.string()), pa.nulls(len(seen), pa.int64()), pa.array(seen.values(), pa.int64())], names)
 
-        for b in batches:
-            split = [symbols(x) for x in b.column(0).to_pylist()]
-            for ws in split:
-                seen.update(ws)
-            seen[END] += len(split)
-            for part in _parts([b" ".join(ws) for ws in split], len):
-                c, n = np.unique(grams(part, depth)[0], return_counts=True)
-                codes, counts = np.concatenate((codes, c)), np.concatenate((counts, n))
-                if len(codes) > MERGE_AT:
-                    codes, counts = _merged(codes, counts)
-            if len(seen) > 1_000_000:
-                yield from words_out()
-                seen.clear()
-        yield from words_out()
-        codes, counts = _merged(codes, counts)
-        for at in range(0, len(codes), 200_000):
-            c, n = codes[at : at + 200_000], counts[at : at + 200_000]
-            yield pa.record_batch([pa.nulls(len(c), pa.string()), pa.array(c), pa.array(n)], names)
-
-    rows = docs.filter(F.coalesce(bucket(F.col("doc_id"), 10) != 0, F.lit(True))).select("text")
-    return rows.mapInArrow(run, "word string, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
-
-
-def _merged(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(codes, return_inverse=True)
-    return found, np.bincount(at, weights=counts, minlength=len(found)).astype(np.int64)
-
-
-@dataclass
-class SuffixTree:
-    """States by depth: sorted context codes with their row in ``logs`` (log10 of next-byte probabilities)."""
-
-    depth: int
-    contexts: list[np.ndarray]
-    rows: list[np.ndarray]
-    logs: np.ndarray
-    walk: "Walk | None" = None
-
-    def states(self, context: np.ndarray) -> np.ndarray:
-        """Row of the longest suffix of each context that is a state."""
-        out = np.zeros(len(context), np.int64)
-        left = np.arange(len(context))
-        for d in range(self.depth, 0, -1):
-            known = self.contexts[d]
-            if not len(known) or not len(left):
-                continue
-            c = context[left] & ((1 << (8 * d)) - 1)
-            at = np.minimum(np.searchsorted(known, c), len(known) - 1)
-            hit = known[at] == c
-            out[left[hit]] = self.rows[d][at[hit]]
-            left = left[~hit]
-        return out
-
-    def score(self, lines: list[bytes]) -> np.ndarray:
-        """log10 probability of each line and its end."""
-        if self.walk is None:
-            self.walk = Walk(self)
-        parts = [self.walk.score(part) for part in _parts(lines, len, SCORE_BYTES) if part]
-        return np.concatenate([np.zeros(0), *parts])
-
-
-class Walk:
-    """The tree as a table of steps from the latest byte backwards, so that all places move at once.
-
-    ``step`` has a row for each node on the way to a state, and a column for each byte that
-    some context has (column 0: any other).  A missing child leads to the node's halt,
-    which leads to itself; ``state`` is the row of the longest suffix that is a state.
-    """
+def _mask(d: int) -> int:
+    return (1 << (8 * (d + 1))) - 1
 
-    def __init__(self, tree: SuffixTree):
-        self.depth, self.logs = tree.depth, tree.logs
-        used = sorted({int(c) >> (8 * k) & 255 for d in range(1, tree.depth + 1) for c in tree.contexts[d] for k in range(d)})
-        self.column = np.zeros(256, np.int32)
-        self.column[used] = np.arange(1, len(used) + 1)
-        children: list[dict[int, int]] = [{}]
-        state = [0]
-        for d in range(1, tree.depth + 1):  # shorter ones first, so a node starts with its parent's state
-            for c, row in zip(tree.contexts[d].tolist(), tree.rows[d].tolist(), strict=True):
-                node = 0
-                for k in range(d):
-                    b = c >> (8 * k) & 255
-                    if b not in children[node]:
-                        children[node][b] = len(children)
-                        children.append({})
-                        state.append(state[node])
-                    node = children[node][b]
-                state[node] = row
-        n, self.width = len(children), len(used) + 1
-        for node in range(n):  # a path that was laid before its inner states were known
-            for child in children[node].values():
-                if state[child] == 0:
-                    state[child] = state[node]
-        self.state = np.array(state + state, np.int32)
-        step = np.empty((2 * n, self.width), np.int32)
-        step[:n] = np.arange(n, 2 * n)[:, None]
-        step[n:] = np.arange(n, 2 * n)[:, None]
-        for node, kids in enumerate(children):
-            for b, child in kids.items():
-                step[node, self.column[b]] = child
-        self.step = step.reshape(-1)
-
-    def score(self, lines: list[bytes]) -> np.ndarray:
-        pad, depth = END * self.depth, self.depth
-        raw = np.frombuffer(b"".join([pad + x + END for x in lines]), np.uint8)
-        column = self.column[raw]
-        node = np.zeros(len(raw) - depth, np.int32)
-        for k in range(1, depth + 1):
-            node = self.step[node * self.width + column[depth - k : len(raw) - k]]
-        logs = self.logs.reshape(-1)[self.state[node] * 256 + raw[depth:]].astype(np.float64)
-        sizes = np.array([len(x) + 1 for x in lines], np.int64)
-        starts = np.cumsum(sizes + depth) - sizes - depth
-        # each line's places, without the next line's opening
-        bounds = np.column_stack([starts, starts + sizes]).reshape(-1)
-        return np.add.reduceat(np.append(logs, 0.0), bounds)[::2]
-
-
-def build_tree(entries: pd.DataFrame, depth: int = DEPTH) -> SuffixTree:
-    """``entries``: columns d (length of the context), code (context and next byte) and n."""
-    contexts, rows = [np.zeros(0, np.int64)] * (depth + 1), [np.zeros(0, np.int64)] * (depth + 1)
-    root = np.zeros(256)
-    own = entries[entries["d"] == 0]
-    root[own["code"].to_numpy(np.int64)] = own["n"].to_numpy(float)
-    table = ((root + 0.5) / (root.sum() + 128)).astype(np.float32)[None]
-    tree = SuffixTree(depth, contexts, rows, table)
+
+def probabilities(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
+    """``gram`` and ``q``: log10 of the last byte's probability after the others, for each gram of ``counts`` (gram, n)."""
+    levels = {depth: counts.select(F.col("gram").alias("code"), "n")}
+    for d in range(depth - 1, -1, -1):
+        shorter = levels[d + 1].groupBy(F.col("code").bitwiseAND(F.lit(_mask(d))).alias("code")).agg(F.sum("n").alias("n"))
+        levels[d] = stored(shorter, f"grams{d}")
+    total = levels[0].agg(F.sum("n")).first()[0] or 0
+    known = levels[0].select("code", F.log10((F.col("n") + 0.5) / F.lit(total + 128.0)).alias("q"))
     for d in range(1, depth + 1):
-        own = entries[entries["d"] == d].sort_values("code")
-        code, n = own["code"].to_numpy(np.int64), own["n"].to_numpy(float)
-        context, byte = code >> 8, code & 255
-        states, at = np.unique(context, return_inverse=True)
-        if not len(states):
-            continue
-        total, kinds = np.bincount(at, weights=n), np.bincount(at).astype(float)
-        parent = tree.states(states)
-        gain = np.bincount(at, weights=n * np.log(n / total[at] / table[parent[at], byte]))
-        stays = gain > 0.5 * kinds * np.log(np.maximum(total, 2))
-        number = np.cumsum(stays) - 1
-        grown = table[parent[stays]] * kinds[stays, None].astype(np.float32)
-        mine = stays[at]
-        np.add.at(grown, (number[at[mine]], byte[mine]), n[mine].astype(np.float32))
-        grown /= (total + kinds)[stays, None]
-        contexts[d], rows[d] = states[stays], len(table) + np.arange(int(stays.sum()))
-        table = np.concatenate([table, grown])
-    tree.logs = np.log10(table)
-    return tree
-
-
-def candidate_contexts(counted: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE) -> pd.DataFrame:
-    """Counts of the next bytes of all contexts that are frequent enough, by length."""
-    g = counted.filter("gram is not null")
-    total = g.agg(F.sum("n")).first()[0] or 0
-    levels = F.array(*[F.struct(F.lit(d).cast("byte").alias("d"), F.lit((1 << (8 * (d + 1))) - 1).cast("long").alias("mask")) for d in range(depth + 1)])
-    entries = g.withColumn("l", F.explode(levels)).groupBy(F.col("l.d").alias("d"), F.col("gram").bitwiseAND(F.col("l.mask")).alias("code")).agg(F.sum("n").alias("n"))
-    entries = entries.withColumn("context", F.shiftright("code", 8))
-    often = entries.groupBy("d", "context").agg(F.sum("n").alias("c")).filter(F.col("c") >= F.lit(max(2.0, least_share * total)))
-    return entries.join(often, ["d", "context"]).select("d", "code", "n").toPandas()
-
-
-@dataclass
-class Model:
-    tree: SuffixTree
-    hot: dict[bytes, float]  # log10 probabilities of the frequent words
-    words: DataFrame  # word, c
-    train_tokens: int
-    distinct: int
-
-
-def fit(docs: DataFrame, depth: int = DEPTH) -> Model:
-    counted = stored(training_counts(docs, depth), "lm")
-    words = counted.filter("word is not null").select("word", F.col("n").alias("c"))
-    n, v = words.agg(F.sum("c"), F.count("*")).first()
-    n = n or 0
-    # at most 1 / HOT_SHARE words can have this share of all tokens
-    hot = words.filter(F.col("c") >= F.lit(max(1.0, HOT_SHARE * n))).toPandas()
-    logs = np.log10((hot["c"].to_numpy(float) + 0.1) / (n + 0.1 * (v + 1)))
-    tree = build_tree(candidate_contexts(counted, depth), depth)
-    return Model(tree, {w.encode(): float(x) for w, x in zip(hot["word"], logs, strict=True)}, words, n, v)
-
-
-def scored(docs: DataFrame, model: Model) -> DataFrame:
+        shorter = known.select(F.col("code").alias("shorter"), F.col("q").alias("p"))
+        met = levels[d].withColumn("shorter", F.col("code").bitwiseAND(F.lit(_mask(d - 1)))).join(shorter, "shorter")
+        n, seen, of = F.col("n"), F.col("n") > 0, Window.partitionBy("context")  # a context has at most 256 rows
+        met = met.select("code", F.shiftright("code", 8).alias("context"), "n", "p").select(
+            "code", "n", "p", F.sum("n").over(of).alias("total"), F.sum(seen.cast("int")).over(of).alias("kinds"),
+            F.sum(F.when(seen, n * (F.log(n) - F.col("p") * math.log(10)))).over(of).alias("gain"),
+        )
+        state = (F.col("total") >= least) & (F.col("gain") - F.col("total") * F.log("total") > 0.5 * F.col("kinds") * F.log("total"))
+        smoothed = F.log10((n + F.col("kinds") * F.pow(F.lit(10.0), "p")) / (F.col("total") + F.col("kinds")))
+        known = stored(met.select("code", F.when(state, smoothed).otherwise(F.col("p")).alias("q")), f"tree{d}")
+    return known.select(F.col("code").alias("gram"), "q")
+
+
+def scored(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    sent = docs.sparkSession.sparkContext.broadcast((model.tree, model.hot))
-    names = ["doc_id", "key", "word", "n", "known", "base", "score"]
-
-    def run(batches):
-        import xxhash
-
-        tree, hot = sent.value
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            split = [symbols(x) for x in texts]
-            out: list[list] = [[] for _ in names]
-            score = tree.score([b" ".join(ws) for ws in split])
-            end = hot.get(END)
-            for d, x, ws, s in zip(ids, texts, split, score.tolist(), strict=True):
-                key = xxhash.xxh64_intdigest(x or "") >> 1
-                logs = list(map(hot.get, ws))
-                rare = [w for w, p in zip(ws, logs, strict=True) if p is None]
-                if end is None:
-                    rare.append(END)
-                base = sum([p for p in logs if p is not None]) + (end or 0.0)
-                # the document's own row has a key that no word has, so that such rows spread
-                row = [(f"{key:x}\n{d}", len(ws) + 1, len(ws) + 1 - len(rare), base, s)]
-                counts: dict[bytes, int] = {}
-                for w in rare:
-                    counts[w] = counts.get(w, 0) + 1
-                row += [(w.decode(), c, None, None, None) for w, c in counts.items()]
-                out[0] += [d] * len(row)
-                out[1] += [key] * len(row)
-                for k, values in enumerate(zip(*row, strict=True), 2):
-                    out[k] += values
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, key long, word string, n long, known long, base double, score double")
-    met = rows.join(model.words, "word", "left")
-    own = F.col("score").isNotNull()
-    log = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / F.lit(model.train_tokens + 0.1 * (model.distinct + 1)))
-    total = met.groupBy("doc_id", "key").agg(
-        F.count_if(own).alias("m"),
-        F.sum(F.when(own, F.col("n"))).alias("n_tokens"),
-        F.sum(F.when(own, F.col("known")).when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.when(own, F.col("base")).otherwise(F.col("n") * log)).alias("base"),
-        F.sum("score").alias("score"),
-    )
-    # rows that repeat an id and a text were added up, and come out as often as they went in
-    each = total.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("m").cast("int"))))
-    held = F.coalesce(bucket(F.col("doc_id"), 10) == 0, F.lit(False))
-    return each.select(
-        "doc_id", held.alias("held_out"),
-        F.expr("n_tokens div m").alias("n_tokens"), F.expr("n_known div m").alias("n_known"),
-        F.lit(model.train_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / F.col("m")).alias("base_score"), (F.col("score") / F.col("m")).alias("score"),
-    )
+    every = stored(grouped(docs, depth), "lm-groups")
+    grams, words = every.filter("gram is not null").select("g", "gram", "n"), every.filter("word is not null").select("g", "word", "n")
+    tree = probabilities(stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams"), depth, least)
+    counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
+    tokens, distinct = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    tokens, below = tokens or 0, (tokens or 0) + 0.1 * (distinct + 1)
+
+    told = grams.join(tree, "gram").select("g", "gram", F.col("q").cast("float").alias("q"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"))
+    told = told.unionByName(words.join(counted, "word").select("g", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("q"), "word", "c"))
+
+    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
+        c = known.column("c").to_numpy(zero_copy_only=False)
+        named = known.column("word").is_valid().to_numpy()
+        log = dict(zip((w.encode() for w in known.column("word").drop_null().to_pylist()), zip(np.log10((c[named] + 0.1) / below).tolist(), (c[named] > 0).tolist(), strict=True), strict=True))
+        code, q = known.column("gram").drop_null().to_numpy(), known.column("q").drop_null().to_numpy()
+        order = np.argsort(code)
+        code, q = code[order], q[order].astype(np.float64)
+        end, out = log[END], []
+        for data in texts.column("texts").to_pylist():
+            rows = pa.ipc.open_stream(data).read_all()
+            lines = rows.column("line").to_pylist()
+            total = np.zeros(len(lines))
+            for at, own in places(lines, depth):
+                total += np.bincount(own, q[np.searchsorted(code, at)], len(lines))
+            for d, held, x, s in zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), lines, total.tolist(), strict=True):
+                hits = [log[w] for w in x.split()]
+                out.append((d, held, len(hits) + 1, sum([k for _, k in hits]) + end[1], tokens, math.fsum([p for p, _ in hits]) + end[0], s))
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCORED, strict=True)], schema=_SCORED)
+
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    texts = every.filter("texts is not null").select(F.col("g").alias("texts_of"), "texts")
+    return texts.groupBy("texts_of").cogroup(told.groupBy("g")).applyInArrow(score, schema)
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])

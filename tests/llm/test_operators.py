@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import os
 import random
 import zlib
@@ -212,8 +213,6 @@ def test_toxicity_accuracy(spark):
 
 
 def test_lm_base_and_probabilities(spark, small):
-    import math
-
     known = texts(spark, small)
     split = {d: [*x.encode().lower().split(), b"\n"] for d, x in known.items()}
     counts = collections.Counter(w for d, ws in split.items() if zlib.crc32(str(d).encode()) % 10 for w in ws)
@@ -226,27 +225,68 @@ def test_lm_base_and_probabilities(spark, small):
         assert r["score"] < 0
 
 
-def test_lm_rare_words_are_joined(spark, small, monkeypatch):
-    monkeypatch.setattr(suffix_tree_lm, "HOT_SHARE", 0.01)
-    docs = documents(prepare(spark), small)
-    few = {r["doc_id"]: r for r in suffix_tree_lm.scored(docs, suffix_tree_lm.fit(docs)).collect()}
-    for r in QUERIES["op6_suffix_tree_lm"](spark, small).collect():
-        assert abs(few[r["doc_id"]]["base_score"] - r["base_score"]) < 1e-6 * abs(r["base_score"])
-        assert few[r["doc_id"]]["n_known"] == r["n_known"]
-
-
-def test_tree_distributions_and_walk(spark, small):
-    model = suffix_tree_lm.fit(documents(prepare(spark), small))
-    tree = model.tree
-    assert np.allclose((10 ** tree.logs.astype(float)).sum(axis=1), 1, atol=1e-4)
-    lines = [b"the of and", b"", b"zzz \xc3\xa9 qq"]
-    code, sizes = suffix_tree_lm.grams(lines)
-    want = np.add.reduceat(tree.logs[tree.states(code >> 8), code & 255].astype(float), np.cumsum(sizes) - sizes)
-    assert np.allclose(tree.score(lines), want)
-    longest = {(d, int(c)) for d in range(1, tree.depth + 1) for c in tree.contexts[d]}
-    for g in code[:20].tolist():
-        row = next((int(tree.rows[d][np.searchsorted(tree.contexts[d], g >> 8 & (1 << 8 * d) - 1)]) for d in range(tree.depth, 0, -1) if (d, g >> 8 & (1 << 8 * d) - 1) in longest), 0)
-        assert tree.states(np.array([g >> 8]))[0] == row
+def plain_tree_scores(rows, depth, least):
+    """Scores by dictionaries: rows are (text, held out)."""
+    lines = [(suffix_tree_lm.END * depth + b" ".join(suffix_tree_lm.symbols(x)) + suffix_tree_lm.END, held) for x, held in rows]
+    seen = [collections.Counter() for _ in range(depth + 1)]
+    for x, held in lines:
+        if not held:
+            for i in range(depth, len(x)):
+                for d in range(depth + 1):
+                    seen[d][x[i - d : i + 1]] += 1
+    total, kinds = collections.Counter(), collections.Counter()
+    followers = collections.defaultdict(list)
+    for d in range(depth + 1):
+        for g, n in seen[d].items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+            followers[g[:-1]].append(g)
+    root, states = total[b""], {}
+
+    def p(g):
+        if len(g) == 1:
+            return (seen[0][g] + 0.5) / (root + 128)
+        below = p(g[1:])
+        return (seen[len(g) - 1][g] + kinds[g[:-1]] * below) / (total[g[:-1]] + kinds[g[:-1]]) if is_state(g[:-1]) else below
+
+    def is_state(c):
+        if c not in states:
+            gain = sum(seen[len(c)][g] * math.log(seen[len(c)][g] / total[c] / p(g[1:])) for g in followers[c])
+            states[c] = total[c] >= least and gain > 0.5 * kinds[c] * math.log(total[c])
+        return states[c]
+
+    memo = {}
+    out = []
+    for x, _ in lines:
+        s = 0.0
+        for i in range(depth, len(x)):
+            g = x[i - depth : i + 1]
+            if g not in memo:
+                memo[g] = math.log10(p(g))
+            s += memo[g]
+        out.append(s)
+    return out, sum(states.values())
+
+
+def test_lm_scores_equal_those_of_a_plain_tree(spark, small, monkeypatch):
+    monkeypatch.setattr(suffix_tree_lm, "GROUP_BYTES", 20_000)  # several groups, whose counts must add up
+    docs = documents(prepare(spark), small).limit(60).union(spark.createDataFrame([(10**9, None, None, None, 0), (10**9 + 1, "É \U0001f389 zz", None, None, 5)], documents(spark, small).schema))
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    held = [zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in rows]
+    want, n_states = plain_tree_scores([(x, h) for (_, x), h in zip(rows, held, strict=True)], 5, 16)
+    assert n_states > 100
+    got = {r["doc_id"]: r for r in suffix_tree_lm.scored(docs).collect()}
+    for (d, _), w, h in zip(rows, want, held, strict=True):
+        assert abs(got[d]["score"] - w) < 1e-5 * abs(w) and got[d]["held_out"] == h
+
+
+def test_lm_slices_of_a_long_line(monkeypatch):
+    lines = [b"the end of " * 50, b"", b"x"]
+    whole = [c for c, _ in suffix_tree_lm.places(lines)]
+    monkeypatch.setattr(suffix_tree_lm, "SLICE", 7)
+    cut = list(suffix_tree_lm.places(lines))
+    assert np.array_equal(np.concatenate([c for c, _ in cut]), np.concatenate(whole))
+    assert np.bincount(np.concatenate([o for _, o in cut])).tolist() == [551, 1, 2]
 
 
 # 7: secrets
