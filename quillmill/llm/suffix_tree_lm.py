@@ -38,12 +38,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import bucket, stored
+from quillmill.llm.common import bucket, release_shuffles, stored
 
 DEPTH = 5  # bytes of the longest context; a gram is one byte more, seven at most
 LEAST = 16
 END = b"\n"
-GROUP_BYTES = 16_000_000
+GROUP_BYTES = 32_000_000
 GROUP_ROWS = 200_000
 PART_BYTES = 1_000_000
 SLICE = 1_000_000
@@ -188,15 +188,19 @@ def probabilities(counts: DataFrame, depth: int = DEPTH, least: int = LEAST) ->
 
 def scored(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each row."""
-    every = stored(grouped(docs, depth), "lm-groups")
+    every = stored(grouped(docs, depth), "lm-groups", "zstd")
     grams, words = every.filter("gram is not null").select("g", "gram", "n"), every.filter("word is not null").select("g", "word", "n")
     tree = probabilities(stored(grams.groupBy("gram").agg(F.sum("n").alias("n")), "lm-grams"), depth, least)
-    counted = stored(words.groupBy("word").agg(F.sum("n").alias("c")), "lm-words")
-    tokens, distinct = counted.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    release_shuffles(docs.sparkSession)
+    # a word has a row in a group at most, so the rows of a frequent word are as many as the groups
+    alike = Window.partitionBy("word")
+    counted = stored(words.select("g", "word", F.sum("n").over(alike).alias("c"), (F.min("g").over(alike) == F.col("g")).alias("first")), "lm-words")
+    release_shuffles(docs.sparkSession)
+    tokens, distinct = counted.filter("first").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, below = tokens or 0, (tokens or 0) + 0.1 * (distinct + 1)
 
     told = grams.join(tree, "gram").select("g", "gram", F.col("q").cast("float").alias("q"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"))
-    told = told.unionByName(words.join(counted, "word").select("g", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("q"), "word", "c"))
+    told = told.unionByName(counted.select("g", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("q"), "word", "c"))
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
         c = known.column("c").to_numpy(zero_copy_only=False)
