@@ -239,7 +239,8 @@ class Codec:
             ids = memo.get(p) or memo.old.get(p)
             if ids is None:
                 ids = self.machine.encode(p.encode("utf-8", "surrogatepass"))
-                ids = memo[p] = struct.pack(f"<{len(ids)}I", *ids)
+                ids = struct.pack(f"<{len(ids)}I", *ids)
+                memo.keep(p, ids)
             found.append(ids)
         return b"".join(found)
 
@@ -250,7 +251,7 @@ class Codec:
         memo.turn()
         self.parts.turn()
         for c in memo.missing([chunks]):
-            memo[c] = self._ids(c)
+            memo.keep(c, self._ids(c))
         return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), "<u4")
 
     def decode_stream(self, ids: Iterable[int], block: int = 4096) -> Iterator[str]:

@@ -49,17 +49,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[key]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     Losing an executor then costs only what had not been written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are done, which it does once the driver has collected what refers to them."""
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -94,14 +99,26 @@ def with_text(rows: DataFrame, schema, text) -> DataFrame:
 
 
 class Recent(dict):
-    """A bounded memo: when it is full, its entries become the old ones, which are looked up once more before they go."""
+    """A memo bounded in entries and bytes: when it is full, its entries become the old ones, which are looked up once more before they go.
+
+    What is known of keys over ``LONGEST`` bytes is kept until the next batch only.
+    """
+
+    LONGEST = 64
 
     def __init__(self, limit: int):
         super().__init__()
-        self.limit, self.old = limit, {}
+        self.limit, self.old, self.passing = limit, {}, {}
+
+    def __missing__(self, key):
+        return self.passing[key]
+
+    def keep(self, key, value) -> None:
+        (self.passing if len(key) > self.LONGEST else self).__setitem__(key, value)
 
     def turn(self) -> None:
         """Between batches: make room."""
+        self.passing.clear()
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
