@@ -1,20 +1,21 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Each task tokenises its documents, cuts those over ``capacity`` into pieces and packs
-the pieces best-fit, longest first.  Sequences that are nearly full are final at once.
-What stands in the others goes on as items to the next round, where the residuals of
-``FAN_IN`` tasks meet in one, are packed again, and so on up a tree of tasks; the last
-task finishes the rest.  A residual bin over half full could never meet another one
-whole, so its pieces travel on as items of their own; a bin of one piece is that piece.
-
-Only ids, lengths and checksums leave the first stage.  After best fit, a task's
-residual holds at most a few bins per length class that had no partner; a residual of
-more than ``RESIDUAL_LIMIT`` pieces in one task is final as it stands (packed
-best-fit, only without further partners), so that no task of a later round can grow
-without bound.
-
-Null texts are empty and give one piece: the end token.  Repeated rows are packed
-again as rows of their own.  Further columns are ignored.
+the pieces best-fit, longest first.  Sequences that are nearly full are final at once;
+underfull ones travel on as items.  In each round the underfull bins of about ``FAN_IN``
+groups meet in one: whole bins are packed best-fit, and those that found no partner are
+opened and their pieces packed best-fit among themselves, where that takes no more bins.
+So it goes up a tree of tasks until one group is left, which finishes the rest.
+
+A group is dealt by a hash and holds about ``GROUP_PIECES`` pieces at most, however many
+are underfull.  Each group leaves two bins of at most half the capacity at most (two such
+bins would have met), so once a round of many groups merges hardly anything, what can
+still be merged needs one of those few.  The closing round gives them, and as many of the
+other bins with most room, to one task.
+
+Only ids, lengths and checksums leave the first stage.  Null texts are empty and give one
+piece: the end token.  Repeated rows are packed again as rows of their own.  Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ CAPACITY = 4096
 END = 1
 NEARLY_FULL = 0.995
 FAN_IN = 16
-RESIDUAL_LIMIT = 50_000
+GROUP_PIECES = 200_000
+SETTLED = 0.99  # of the bins that came in: a round that leaves more has hardly merged anything
 MEMO_LIMIT = 300_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, residual boolean, task long"
@@ -82,7 +84,7 @@ class WordEncoder:
         for i in range(0, len(words), 20_000):
             part = words[i : i + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w.encode("utf-8")] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+                self.memo.keep(w.encode("utf-8"), struct.pack(f"<{len(e.ids)}I", *e.ids))
 
     def _encode_runs(self, words: list[str]) -> None:
         """Words of letters alone, many in one text: each ends with its only closing token."""
@@ -95,7 +97,7 @@ class WordEncoder:
                 continue
             flat, at = ids.tobytes(), 0
             for w, end in zip(part, (4 * ends).tolist(), strict=True):
-                self.memo[w.encode("utf-8")] = flat[at:end]
+                self.memo.keep(w.encode("utf-8"), flat[at:end])
                 at = end
 
 
@@ -155,16 +157,32 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return bins, offsets, np.array(fill, np.int64)
 
 
+def repack(lengths: np.ndarray, given: np.ndarray, offsets: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of pieces that come in bins (``given``): bins as items first, then the pieces of those left alone."""
+    _, at = np.unique(given, return_inverse=True)
+    whole, place, fill = best_fit(np.bincount(at, weights=lengths).astype(np.int64), capacity)
+    bins, offsets = whole[at], place[at] + offsets
+    alone = np.bincount(whole, minlength=len(fill)) == 1
+    opened = np.flatnonzero(alone[bins])
+    own, at_place, filled = best_fit(lengths[opened], capacity)
+    if len(filled) <= int(alone.sum()):
+        bins[opened], offsets[opened] = len(fill) + own, at_place
+    return np.unique(bins, return_inverse=True)[1], offsets
+
+
 def _pack(items: pd.DataFrame, capacity: int, task: int, level: int, last: bool) -> pd.DataFrame:
-    """Items with their sequence, offset, and whether they go on to the next round."""
+    """Items with their sequence, offset, and whether they go on to the next round; bins stay bins from level 1 on."""
     items = items.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", ignore_index=True)
-    bins, offsets, fill = best_fit(items["length"].to_numpy(np.int64), capacity)
+    lengths = items["length"].to_numpy(np.int64)
+    if level:
+        bins, offsets = repack(lengths, items["sequence_id"].to_numpy(np.int64), items["offset"].to_numpy(np.int64), capacity)
+    else:
+        bins, offsets, _ = best_fit(lengths, capacity)
+    open_bin = np.bincount(bins, weights=lengths) < NEARLY_FULL * capacity
     # level and task number a bin: 2^5 levels, 2^30 tasks, 2^28 bins a task
     items["sequence_id"] = (level << 58) + (task << 28) + bins
     items["offset"] = offsets
-    open_bin = fill < NEARLY_FULL * capacity
-    residual = open_bin[bins] if len(fill) else np.zeros(0, bool)
-    items["residual"] = False if last or int(residual.sum()) > RESIDUAL_LIMIT else residual
+    items["residual"] = False if last else open_bin[bins]
     items["task"] = task
     return items
 
@@ -209,18 +227,36 @@ def _merger(capacity: int, level: int, last: bool):
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
-    spark: SparkSession = docs.sparkSession
-    rounds = stored(tokenised_and_packed(docs, tokenizer_path, capacity, end), "pack0")
-    done = [rounds.filter(~F.col("residual"))]
+    return merge_rounds(stored(tokenised_and_packed(docs, tokenizer_path, capacity, end), "pack0"), capacity)
+
+
+def merge_rounds(rounds: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
+    """The tree of merge rounds over the packed pieces of the first round (a stored table)."""
+    done, before, groups = [], None, None
     for level in itertools.count(1):
+        done.append(rounds.filter(~F.col("residual")))
         left = rounds.filter("residual")
-        tasks = left.agg(F.max("task")).first()[0]
-        if tasks is None:
+        pieces, bins, tasks = left.agg(F.count("*"), F.count_if(F.col("offset") == 0), F.max("task")).first()
+        if not pieces:
             break
-        up = left.withColumn("up", F.expr(f"task div {FAN_IN}"))
-        rounds = stored(up.groupBy("up").applyInArrow(_merger(capacity, level, tasks < FAN_IN), PIECES), f"pack{level}")
-        done.append(rounds.filter(~F.col("residual")))
+        fewer = max(-(-(groups or tasks + 1) // FAN_IN), -(-pieces // group_pieces))
+        if groups and groups > 1 and fewer >= groups and bins > SETTLED * before:
+            rest, chosen = _closing(left, capacity)
+            done += [rest, stored(chosen.withColumn("up", F.lit(0).cast("long")).groupBy("up").applyInArrow(_merger(capacity, level, True), PIECES), "pack-closing")]
+            break
+        groups, before = fewer, bins
+        up = left.withColumn("up", F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(groups)))
+        rounds = stored(up.groupBy("up").applyInArrow(_merger(capacity, level, groups == 1), PIECES), f"pack{level}")
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
     return out.drop("residual", "task")
+
+
+def _closing(left: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
+    """What is final as it stands, and what may still be merged: the bins up to half full and as many others with most room."""
+    fill = stored(left.groupBy("sequence_id").agg(F.sum("length").alias("fill")), "pack-fill")
+    small = fill.filter(F.col("fill") * 2 <= capacity).select("sequence_id")
+    large = fill.filter(F.col("fill") * 2 > capacity).orderBy("fill", "sequence_id").limit(small.count()).select("sequence_id")
+    chosen = stored(small.unionByName(large), "pack-chosen")
+    return left.join(chosen, "sequence_id", "left_anti").select(*left.columns), left.join(chosen, "sequence_id", "left_semi").select(*left.columns)

@@ -9,6 +9,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 import corpus_pipeline
@@ -166,6 +167,7 @@ def check_bins(rows):
     bins = collections.defaultdict(list)
     for r in rows:
         bins[r["sequence_id"]].append((r["offset"], r["length"]))
+        assert r["length"] > 0
     for parts in bins.values():
         at = 0
         for offset, length in sorted(parts):
@@ -182,6 +184,72 @@ def test_residuals_climb_the_tree(spark, monkeypatch):
     assert len(rows) == 24 and len({r["sequence_id"] for r in rows}) == 12
 
 
+def first_round(spark, lengths_by_task, capacity=4096):
+    """The table that the first round leaves, of pieces with the lengths given for each task."""
+    parts = []
+    for task, lengths in enumerate(lengths_by_task):
+        n = len(lengths)
+        items = pd.DataFrame({"doc_id": np.arange(n) + 10**6 * task, "piece": 0, "start": 0, "length": lengths, "ids_crc32": 0})
+        parts.append(packing._pack(items, capacity, task, 0, False))
+    rows = pd.concat(parts)[[f.name for f in packing._ARROW]]
+    return spark.createDataFrame(rows, packing.PIECES)
+
+
+def test_underfull_bins_meet_across_many_groups(spark):
+    rounds = first_round(spark, [[2100] * 600, [1900] * 600, [2500] * 50]).cache()
+    rows = packing.merge_rounds(rounds, group_pieces=100).collect()
+    check_bins(rows)
+    assert len(rows) == 1250
+    fill = collections.Counter()
+    for r in rows:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(fill) == 650  # each 2,100 has a 1,900
+    least = sorted(fill.values())
+    assert least[0] + least[1] > 4096
+
+
+def test_opened_bins_take_no_more():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        lengths = r.integers(1, 60, 40)
+        given = np.arange(40) // 2  # bins of two pieces
+        offsets = np.where(np.arange(40) % 2, np.roll(lengths, 1), 0)
+        if (np.bincount(given, weights=lengths) > 100).any():
+            continue
+        bins, at = packing.repack(lengths, given, offsets, 100)
+        check_bins([{"sequence_id": b, "offset": o, "length": n} for b, o, n in zip(bins, at, lengths, strict=True)])
+        whole = len(packing.best_fit(np.bincount(given, weights=lengths).astype(np.int64), 100)[2])
+        assert len(set(bins)) <= whole  # bins as items alone
+
+
+def fewest_bins(lengths, capacity):
+    """By trying everything."""
+    best = [len(lengths)]
+
+    def place(i, fill):
+        if len(fill) >= best[0]:
+            return
+        if i == len(lengths):
+            best[0] = len(fill)
+            return
+        for k in range(len(fill)):
+            if fill[k] + lengths[i] <= capacity:
+                place(i + 1, [*fill[:k], fill[k] + lengths[i], *fill[k + 1 :]])
+        place(i + 1, [*fill, lengths[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_the_fewest_bins(spark):
+    r = random.Random(5)
+    for _ in range(4):
+        lengths = [sorted((r.randint(300, 2500) for _ in range(4)), reverse=True) for _ in range(2)]
+        rows = packing.merge_rounds(first_round(spark, lengths).cache()).collect()
+        check_bins(rows)
+        assert len({x["sequence_id"] for x in rows}) <= fewest_bins(sorted(lengths[0] + lengths[1], reverse=True), 4096) + 1
+
+
 def test_best_fit_takes_the_fullest_bin():
     bins, offsets, fill = packing.best_fit(np.array([5, 7, 3, 5]), 10)
     assert sorted(fill.tolist()) == [10, 10] and offsets.min() == 0
