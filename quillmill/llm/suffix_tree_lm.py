@@ -194,30 +194,45 @@ def scored(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFrame
     release_shuffles(docs.sparkSession)
     # a word has a row in a group at most, so the rows of a frequent word are as many as the groups
     alike = Window.partitionBy("word")
-    counted = stored(words.select("g", "word", F.sum("n").over(alike).alias("c"), (F.min("g").over(alike) == F.col("g")).alias("first")), "lm-words")
+    counted = words.select("g", "word", F.sum("n").over(alike).alias("c"), (F.min("g").over(alike) == F.col("g")).alias("first"), (F.count("*").over(alike) > 1).alias("shared"))
+    counted = stored(counted, "lm-words")
     release_shuffles(docs.sparkSession)
     tokens, distinct = counted.filter("first").agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
     tokens, below = tokens or 0, (tokens or 0) + 0.1 * (distinct + 1)
 
     told = grams.join(tree, "gram").select("g", "gram", F.col("q").cast("float").alias("q"), F.lit(None).cast("string").alias("word"), F.lit(None).cast("long").alias("c"))
-    told = told.unionByName(counted.select("g", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("q"), "word", "c"))
+    told = told.unionByName(counted.filter("shared").select("g", F.lit(None).cast("long").alias("gram"), F.lit(None).cast("float").alias("q"), "word", "c"))
 
     def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        c = known.column("c").to_numpy(zero_copy_only=False)
-        named = known.column("word").is_valid().to_numpy()
-        log = dict(zip((w.encode() for w in known.column("word").drop_null().to_pylist()), zip(np.log10((c[named] + 0.1) / below).tolist(), (c[named] > 0).tolist(), strict=True), strict=True))
+        log = {}
+
+        def learn(words: list[bytes], counts: np.ndarray) -> None:
+            log.update(zip(words, zip(np.log10((counts + 0.1) / below).tolist(), (counts > 0).tolist(), strict=True), strict=True))
+
+        shared = known.filter(known.column("word").is_valid())
+        learn([w.encode() for w in shared.column("word").to_pylist()], shared.column("c").to_numpy())
         code, q = known.column("gram").drop_null().to_numpy(), known.column("q").drop_null().to_numpy()
         order = np.argsort(code)
         code, q = code[order], q[order].astype(np.float64)
-        end, out = log[END], []
-        for data in texts.column("texts").to_pylist():
+        packed = texts.column("texts").to_pylist()
+        # words that no other group has are counted here
+        mine = Counter()
+        for data in packed:
+            rows = pa.ipc.open_stream(data).read_all()
+            for x, held in zip(rows.column("line").to_pylist(), rows.column("held_out").to_pylist(), strict=True):
+                mine.update([w for w in (*x.split(), END) if w not in log] if not held else ())
+        learn(list(mine), np.array(list(mine.values()), np.int64))
+        never = (math.log10(0.1 / below), False)
+        end, out = log.get(END, never), []
+        for data in packed:
             rows = pa.ipc.open_stream(data).read_all()
             lines = rows.column("line").to_pylist()
             total = np.zeros(len(lines))
             for at, own in places(lines, depth):
-                total += np.bincount(own, q[np.searchsorted(code, at)], len(lines))
+                order = np.argsort(at)  # looked up in order, so that the table is read once from end to end
+                total += np.bincount(own[order], q[np.searchsorted(code, at[order])], len(lines))
             for d, held, x, s in zip(rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), lines, total.tolist(), strict=True):
-                hits = [log[w] for w in x.split()]
+                hits = [log.get(w, never) for w in x.split()]
                 out.append((d, held, len(hits) + 1, sum([k for _, k in hits]) + end[1], tokens, math.fsum([p for p, _ in hits]) + end[0], s))
         return pa.table([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _SCORED, strict=True)], schema=_SCORED)
 
