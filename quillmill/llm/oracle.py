@@ -57,16 +57,19 @@ def licences_sql() -> str:
         by_id.setdefault(k, []).append(s)
     cases = " ".join(f"WHEN s IN ({', '.join(_text(s) for s in group)}) THEN {_text(k)}" for k, group in by_id.items())
     steps, last = [], "s0"
-    rules = license_scan.rule_list()
-    for k, (sequence, name) in enumerate(rules, 1):
-        p = _text("".join(rf" \Q{x}\E " for x in sequence))
+    for k, (sequence, name) in enumerate(license_scan.rule_list(), 1):
+        p = _text(license_scan.rule_pattern(sequence))
         steps.append(f"s{k} AS (SELECT doc_id, ids, regexp_replace(rest, {p}, ' ', 'g') AS rest, CASE WHEN regexp_matches(rest, {p}) THEN list_append(found, {_text(name)}) ELSE found END AS found FROM {last})")
         last = f"s{k}"
-    normal = r"regexp_replace(regexp_replace(replace(lower(x), 'licence', 'license'), '[^a-z0-9.+-]+', ' ', 'g'), '^[ .-]+|[ .-]+$', '', 'g')"
+    whole, one = "chr(10) || lower(t) || chr(10)", "parts[i]"
+    for pattern, to in license_scan.WHOLE:
+        whole = f"regexp_replace({whole}, {_text(pattern)}, {_text(to)}, 'g')"
+    for pattern, to in license_scan.ONE:
+        one = f"regexp_replace({one}, {_text(pattern)}, {_text(to)}, 'g')"
     needed = "|".join(license_scan.NEEDED)
     return rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-n AS (SELECT doc_id, i, CASE {cases} END AS id FROM (SELECT doc_id, i, {normal.replace('lower(x)', 'lower(parts[i])')} AS s FROM (
-  SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split_regex(regexp_replace(t, '([.!?;])[\x20\t]+', '\1' || chr(10), 'g'), '[\r\n]+') AS parts FROM d WHERE regexp_matches(lower(t), '{needed}')) a) b) c),
+n AS (SELECT doc_id, i, CASE {cases} END AS id FROM (SELECT doc_id, i, {one} AS s FROM (
+  SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split({whole}, chr(12)) AS parts FROM d WHERE regexp_matches(lower(t), '{needed}')) a) b) c),
 k AS (SELECT doc_id, list(id ORDER BY i) AS ids FROM n WHERE id IS NOT NULL GROUP BY doc_id),
 s0 AS (SELECT d.doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(coalesce(ids, []), '  ') || ' ' AS rest, CAST([] AS VARCHAR[]) AS found FROM d LEFT JOIN k USING (doc_id)),
 {', '.join(steps)}

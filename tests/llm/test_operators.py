@@ -357,6 +357,99 @@ def test_lm_slices_of_a_long_line(monkeypatch):
     assert np.bincount(np.concatenate([o for _, o in cut])).tolist() == [551, 1, 2]
 
 
+NOTICES = {
+    "Apache-2.0 (notice)": """/*
+ * Copyright 2020 Someone
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */""",
+    "GPL-2.0-or-later": """This program is free software; you can redistribute it and/or modify it
+under the terms of the GNU General Public License as published by the Free
+Software Foundation; either version 2 of the License, or (at your option)
+any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT
+ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS
+FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License along with
+this program; if not, write to the Free Software Foundation.""",
+    "GPL-3.0-or-later": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.""",
+    "ISC": """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without
+   specific prior written permission.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "CC-BY-4.0": "Creative Commons Attribution 4.0 International Public License\n\nBy exercising the Licensed Rights you accept this.",
+    "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+}
+SHORT = {
+    "// SPDX-License-Identifier: MIT\npackage main": "MIT",
+    "<!-- SPDX-License-Identifier: Apache-2.0 -->": "Apache-2.0",
+    "The tool is licensed under the MIT License.": "MIT",
+    "some words\nLicensed under CC BY-NC 4.0\nmore words": "CC-BY-NC-4.0",
+    "nothing of that kind under the sun, with permission.": "",
+    "It was released under the bridge.": "",
+    "Licensed under the MIT\nLicense.": "MIT",
+}
+
+
+def test_real_notices_are_recognised(spark):
+    cases = [*((text, name) for name, text in NOTICES.items()), *SHORT.items(), ("\r\n".join(NOTICES["MIT"].split("\n")), "MIT")]
+    rows = license_scan.licences(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["licences"] for r in rows} == {i: name for i, (_, name) in enumerate(cases)}
+
+
+def test_every_rule_matches_its_own_sentences(spark):
+    texts_of = [" ".join("Licensed under the Apache License, Version 2.0." if s.startswith("grant:") else license_scan.SENTENCES[s] + "." for s in seq) for seq, _ in license_scan.RULES]
+    rows = license_scan.licences(spark.createDataFrame(list(enumerate(texts_of)), "doc_id long, text string")).collect()
+    for r in rows:
+        assert license_scan.RULES[r["doc_id"]][1] in r["licences"].split(","), texts_of[r["doc_id"]]
+
+
+def test_unknown_and_harmless_sentences_may_stand_between(spark):
+    parts = [license_scan.SENTENCES[s] + "." for s in ("gpl3-grant", "gpl-copy")]
+    text = f"{parts[0]} Something else. {license_scan.SENTENCES['gpl-hope']}. {parts[1]}"
+    assert license_scan.licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["licences"] == "GPL-3.0-or-later"
+
+
 # 7: secrets
 
 
