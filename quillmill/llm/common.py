@@ -49,14 +49,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _scratch[key]
 
 
-def stored(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
+def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back.
 
     Losing an executor then costs only what had not been written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillmill-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
