@@ -57,9 +57,9 @@ def op6_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quillmill.llm.secret_scan import secrets
+    from quillmill.llm.secret_scan import arrivals, incremental_secrets
 
-    return secrets(documents(prepare(spark), sf_dir))
+    return incremental_secrets(arrivals(documents(prepare(spark), sf_dir)))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import stored, whole_rows, with_text
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+BLOCK = 256  # matches
 
 
 @dataclass(frozen=True)
@@ -71,7 +72,14 @@ def rule_spans(text: Column, rule: Rule, kind: int) -> Column:
         whole = x["hit"].isNotNull() & (F.length(x["key"]) >= rule.least)
         return F.struct(end.alias("at"), F.when(whole, F.concat(done["found"], F.array(span))).otherwise(done["found"]).alias("found"))
 
-    walked = F.aggregate(met, start, step, lambda done: done["found"])
+    # block by block, so that a span is copied once in its block and once a later block, and not once a later span
+    blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(met), F.lit(1)), F.lit(BLOCK)), lambda i: F.aggregate(F.slice(met, i, F.lit(BLOCK)), start, step))
+
+    def put(done: Column, block: Column) -> Column:
+        moved = F.transform(block["found"], lambda x: F.struct((x["start"] + done["at"]).alias("start"), x["kind"].alias("kind"), (x["end"] + done["at"]).alias("end")))
+        return F.struct((done["at"] + block["at"]).alias("at"), F.concat(done["found"], moved).alias("found"))
+
+    walked = F.aggregate(blocks, start, put, lambda done: done["found"])
     return F.when(text.rlike(rule.pattern), walked).otherwise(nothing)
 
 
@@ -118,9 +126,14 @@ def blob_findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
     """
     new = scan(docs, ledger, rules)
     versions = list(dict.fromkeys(r.version for r in rules))
-    rows = new if ledger is None else new.unionByName(ledger.filter(F.col("version").isin(versions)).select("blob", "version", "spans"))
-    # a row for each rule version at most
-    return stored(rows.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")), "findings")
+    return _by_blob(new if ledger is None else new.unionByName(ledger.filter(F.col("version").isin(versions)).select("blob", "version", "spans")))
+
+
+def _by_blob(rows: DataFrame) -> DataFrame:
+    """blob and all its ``spans``, from ledger rows."""
+    # a rule version has a row of its own, and several where writers repeated it
+    found = rows.filter(F.size("spans") > 0).groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    return stored(found, "findings")
 
 
 def findings(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -138,10 +151,14 @@ def _named(spans: Column, rules: tuple[Rule, ...]) -> Column:
 
 def secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, counts of the base kinds, digest of the base spans, and all spans."""
+    return _counted(findings(docs, ledger, rules), rules)
+
+
+def _counted(found: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     spans = F.col("spans")
     count = lambda k: F.size(F.filter(spans, lambda x: x["kind"] == k)).cast("long")
     base = F.filter(spans, lambda x: x["kind"] < BASE)
-    return findings(docs, ledger, rules).select(
+    return found.select(
         "doc_id",
         *[count(k).alias(f"n_{rules[k].kind}") for k in range(BASE)],
         F.sha2(_named(base, rules), 256).alias("base_sha256"),
@@ -149,6 +166,28 @@ def secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     )
 
 
+def arrivals(docs: DataFrame, parts: int = 2) -> list[DataFrame]:
+    """The rows as they would come in several deliveries, dealt by a hash of the id."""
+    return [docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(parts)) == k) for k in range(parts)]
+
+
+def incremental_secrets(deliveries: list[DataFrame], rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The findings of all rows of all deliveries: each delivery scans only the blobs that no earlier one had, and adds them to the ledger."""
+    every = deliveries[0]
+    for d in deliveries[1:]:
+        every = every.unionByName(d)
+    ledger = None
+    for k, d in enumerate(deliveries[:-1]):
+        new = stored(scan(d, ledger, rules), f"ledger{k}")
+        ledger = new if ledger is None else ledger.unionByName(new)
+    last = deliveries[-1]
+    new = scan(last, ledger, rules) if ledger is not None else scan(last, None, rules)
+    known = new if ledger is None else ledger.unionByName(new)
+    nothing = F.array().cast(SPAN)
+    joined = blob_table(every).select("doc_id", "blob").join(_by_blob(known), "blob", "left")
+    return _counted(joined.select("doc_id", "blob", F.coalesce("spans", nothing).alias("spans")), rules)
+
+
 def append_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan what the ledger at ``path`` lacks, append it there, and return the findings of all rows."""
     spark = docs.sparkSession
