@@ -270,6 +270,8 @@ class Jpeg:
 
     def payload(self) -> bytes:
         """What ``store`` kept."""
+        if not self.note.startswith(b"blocks "):
+            raise ValueError("no payload is stored in this file")
         n = int(self.note.split()[1])
         block = self.coefficients[self.components[0][0]][:n]
         out = np.where(block > 0, block - 1, block).astype(np.uint8)
@@ -300,20 +302,29 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Read ``media`` back: digests of payload and file, dimensions and thumbnail hash."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height"]
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int"
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32()]
-
-    def row(data: bytes) -> tuple:
-        image = Jpeg(data)
-        payload = image.payload()
-        mark = f"{image.width}x{image.height}:{thumbnail_hash(image.thumbnail())}"
-        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), mark, image.width, image.height
+    """Read ``media`` back: digests of payload and file, dimensions and thumbnail hash.
+
+    A file that is null, broken or not of the kind that ``store`` writes has nulls, and what is wrong with it in ``error``.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "error"]
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width int, height int, error string"
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            return (*[None] * 8, "null")
+        try:
+            image = Jpeg(data)
+            payload = image.payload()
+            thumbnail = image.thumbnail()
+        except (ValueError, IndexError, KeyError, StopIteration, struct.error) as error:
+            return None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, None, None, f"{type(error).__name__}: {error}"
+        mark = f"{image.width}x{image.height}:{thumbnail_hash(thumbnail)}"
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), mark, image.width, image.height, None
 
     def run(batches):
         for b in batches:
-            rows = list(zip(*[row(x) for x in b.column(2).to_pylist()], strict=True)) or [()] * 8
+            rows = list(zip(*[row(x) for x in b.column(2).to_pylist()], strict=True)) or [()] * 9
             columns = [b.column(0), b.column(1), *rows]
             yield pa.record_batch([pa.array(c, k) if isinstance(c, tuple) else c for c, k in zip(columns, kinds, strict=True)], names)
 
