@@ -2,7 +2,7 @@
 
 Folding.  Texts are lower-cased, letters that look like Latin ones become those, digits
 and signs that stand for letters become letters (``l`` and ``1`` both become ``i``), and
-all else becomes a space; so "1D1OT", Cyrillic lookalikes and "idiot" are one word.
+all else becomes a space; accents and invisible characters are dropped; so "1D1OT", Cyrillic lookalikes and "idiot" are one word.
 
 Lexicon.  Weights are log ratios of document frequencies among toxic and other training
 rows; a word is kept if its weight and its z-score are high.  Common insults have a
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 from quillmill.llm.common import bucket, stored
 
 SAMPLE_ROWS = 20_000
-LEXICON_SIZE = 5_000
 LEAST_ROWS = 5
 LEAST_WEIGHT = 2.5
 LEAST_Z = 3.0
@@ -59,9 +59,20 @@ def folded(text: str | None) -> str:
     """Words of letters between single spaces, with a space at both ends.
 
     A mark that ends a word ("idiot!") is no letter there: marks fold only before a letter or digit.
+    Accents, invisible characters and styled letters go by compatibility decomposition, letters
+    three or more times in a row become one, and four or more single letters in a row a word.
     """
-    x = _TAIL.sub(" ", (text or "").lower())
-    return f" {_OTHER.sub(' ', x.translate(_FOLD)).strip()} "
+    x = text or ""
+    if not x.isascii():
+        x = "".join([c for c in unicodedata.normalize("NFKD", x) if c.isascii() or unicodedata.category(c) not in ("Mn", "Me", "Cf")])
+    x = _TAIL.sub(" ", x.lower())
+    x = f" {_OTHER.sub(' ', x.translate(_FOLD)).strip()} "
+    x = _MANY.sub(r"\1", x)
+    return _APART.sub(lambda m: m[0].replace(" ", ""), x)
+
+
+_MANY = re.compile(r"([^\W\d_])\1{2,}")
+_APART = re.compile(r"(?<= )(?:[^\W\d_] ){3,}[^\W\d_](?= )")
 
 
 _TAIL = re.compile(r"[!|$@]+(?![^\W_])")
@@ -124,7 +135,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Lexicon and curve from the training rows; both are bounded by ``rows`` and LEXICON_SIZE."""
+    """Lexicon and curve from the training rows; the words of ``rows`` rows bound both."""
     train = stored(training_rows(docs, labels, rows), "toxicity")
 
     def count(batches):
@@ -145,8 +156,6 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         words.withColumn("weight", weight)
         .withColumn("z", z)
         .filter(F.col("word").isin(insults) | (F.col("c1") >= LEAST_ROWS) & (F.col("weight") >= LEAST_WEIGHT) & (F.col("z") >= LEAST_Z))
-        .orderBy(F.desc("z"), "word")
-        .limit(LEXICON_SIZE)
         .select("word", "weight")
         .collect()
     )
