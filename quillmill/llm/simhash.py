@@ -30,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import stored
@@ -327,36 +327,57 @@ def _hashed(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([shingle_hashes(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "h"])
 
-    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    texts = one_a_document(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"))
     return texts.mapInArrow(run, "doc_id long, h binary")
 
 
+def one_a_document(docs: DataFrame) -> DataFrame:
+    """Of rows that share an id, the one whose text has the least digest."""
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2("text", 256).asc_nulls_first()))
+    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("first", first).filter("first = 1").select("row.*")
+
+
+PAIRS_A_BLOCK = 2_000
+
+
 def verified(pairs: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (x, y) whose texts have the similarity, compared by their whole shingle sets."""
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    texts = stored(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "asked")
-    left, right = texts.select(F.col("doc_id").alias("x"), F.col("text").alias("s")), texts.select(F.col("doc_id").alias("y"), F.col("text").alias("t"))
+    """The pairs (x, y) whose texts have the similarity, compared by their whole shingle sets.
+
+    Each pair goes from its ``leaf``, which is in fewer pairs, to its ``hub``; so no leaf
+    has more pairs than about the square root of all.  The pairs of a hub are dealt to
+    blocks of about PAIRS_A_BLOCK, and its set goes once to each.
+    """
+    pairs = pairs.select("x", "y")
+    degree = stored(pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "degrees")
+    sets = stored(_hashed(docs, degree.select(F.col("id").alias("doc_id")), size), "sets")
+    of = lambda k: degree.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"))
+    met = pairs.join(of("x"), "x").join(of("y"), "y")
+    turned = F.col("nx") >= F.col("ny")
+    met = met.select(F.when(turned, F.col("x")).otherwise(F.col("y")).alias("hub"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("leaf"), F.greatest("nx", "ny").alias("n"))
+    blocks = F.ceil(F.col("n") / PAIRS_A_BLOCK).cast("int")
+    leaves = met.withColumn("part", F.pmod(F.xxhash64("leaf"), blocks).cast("int")).join(sets.select(F.col("doc_id").alias("leaf"), "h"), "leaf")
+    hubs = sets.join(degree, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.col("h").alias("of_hub"))
 
     def run(batches):
         for b in batches:
             keep, last, mine = [], None, None
-            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if s is not last:
-                    last, mine = s, shingle_hashes(s, size)
-                other = shingle_hashes(t, size)
+            for g, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if g != last:
+                    last, mine = g, np.frombuffer(g, np.uint64)
+                other = np.frombuffer(h, np.uint64)
                 shared = len(np.intersect1d(mine, other, assume_unique=True))
                 union = len(mine) + len(other) - shared
                 keep.append(union == 0 or shared >= similarity * union)
             yield pa.record_batch([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "x").join(right, "y").select("x", "y", "s", "t").mapInArrow(run, "x long, y long")
+    return leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "of_hub", "h").mapInArrow(run, "x long, y long")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of similar texts, one row for an id; rows without an id stay.
 
-    Blank texts are similar to one another.  Of rows that share an id and differ in text, one stays where one of them does.
+    Blank texts are similar to one another.  Of rows that share an id and differ in text, the one with the least digest of its text stays, where one of them does.
     """
     stay = similar_groups(docs, similarity, size).filter("doc_id = root").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = one_a_document(docs.join(stay, "doc_id", "left_semi").select(*docs.columns))
     return named.unionByName(docs.filter("doc_id is null"))
