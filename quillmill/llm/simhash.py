@@ -333,8 +333,9 @@ def _hashed(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
 
 def one_a_document(docs: DataFrame) -> DataFrame:
     """Of rows that share an id, the one whose text has the least digest."""
+    rank = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2("text", 256).asc_nulls_first()))
-    return docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("first", first).filter("first = 1").select("row.*")
+    return docs.withColumn(rank, first).filter(F.col(rank) == 1).drop(rank)
 
 
 PAIRS_A_BLOCK = 2_000
@@ -345,32 +346,33 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, size: int) ->
 
     Each pair goes from its ``leaf``, which is in fewer pairs, to its ``hub``; so no leaf
     has more pairs than about the square root of all.  The pairs of a hub are dealt to
-    blocks of about PAIRS_A_BLOCK, and its set goes once to each.
+    blocks of about PAIRS_A_BLOCK, and its text goes once to each.
     """
     pairs = pairs.select("x", "y")
     degree = stored(pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "degrees")
-    sets = stored(_hashed(docs, degree.select(F.col("id").alias("doc_id")), size), "sets")
+    # texts rather than sets travel: they are smaller, and compress
+    texts = stored(one_a_document(docs.select("doc_id", "text").join(degree.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")), "asked")
     of = lambda k: degree.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"))
     met = pairs.join(of("x"), "x").join(of("y"), "y")
     turned = F.col("nx") >= F.col("ny")
     met = met.select(F.when(turned, F.col("x")).otherwise(F.col("y")).alias("hub"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("leaf"), F.greatest("nx", "ny").alias("n"))
     blocks = F.ceil(F.col("n") / PAIRS_A_BLOCK).cast("int")
-    leaves = met.withColumn("part", F.pmod(F.xxhash64("leaf"), blocks).cast("int")).join(sets.select(F.col("doc_id").alias("leaf"), "h"), "leaf")
-    hubs = sets.join(degree, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.col("h").alias("of_hub"))
+    leaves = met.withColumn("part", F.pmod(F.xxhash64("leaf"), blocks).cast("int")).join(texts.select(F.col("doc_id").alias("leaf"), F.col("text").alias("t")), "leaf")
+    hubs = texts.join(degree, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.col("text").alias("s"))
 
     def run(batches):
         for b in batches:
             keep, last, mine = [], None, None
-            for g, h in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                if g != last:
-                    last, mine = g, np.frombuffer(g, np.uint64)
-                other = np.frombuffer(h, np.uint64)
+            for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if mine is None or s != last:
+                    last, mine = s, shingle_hashes(s, size)
+                other = shingle_hashes(t, size)
                 shared = len(np.intersect1d(mine, other, assume_unique=True))
                 union = len(mine) + len(other) - shared
                 keep.append(union == 0 or shared >= similarity * union)
             yield pa.record_batch([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "of_hub", "h").mapInArrow(run, "x long, y long")
+    return leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "s", "t").mapInArrow(run, "x long, y long")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
