@@ -109,33 +109,54 @@ def luhn(digits: str) -> bool:
 
 
 def valid_iban(text: str) -> bool:
-    s = re.sub(r"\s", "", text).upper()
-    if not 15 <= len(s) <= 34:
+    s = re.sub(r"[\s-]", "", text).upper()
+    if not 15 <= len(s) <= 34 or not (s.isascii() and s[:2].isalpha() and s[2:4].isdigit() and s.isalnum()):
         return False
     return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-_GOVERNMENT = re.compile(r"\b\d{3}-\d{2}-\d{4}\b")
-_CARD = re.compile(r"\b\d(?:[ -]?\d){12,18}\b")
-_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}\b")
-_EMAIL = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+")
-_PHONE = re.compile(r"(?<![\w.])\+?\d[\d ().-]{6,}\d(?![\w.])")
+#: What is redacted, in this order: a pattern, the label, and for some a checksum that must be right.
+REDACTED = (
+    (r"(?<!\d)\d{3}[- ]?\d{2}[- ]?\d{4}(?!\d)", "[GOVERNMENT_ID]", None),
+    (r"(?<!\d)(?:\d[ -]?){12,18}\d(?!\d)", "[PAYMENT_CARD]", "card"),
+    (r"(?i)(?<![A-Z0-9])(?:[A-Z]{2}\d{2}(?:[ -]?[A-Z0-9]){11,30})(?![A-Z0-9])", "[BANK_ACCOUNT]", "account"),
+    (r"(?<![\w.+-])[\w.+-]+@[\w.-]+\.[A-Za-z]{2,}(?![\w-])", "[EMAIL]", None),
+    (r"(?<!\w)(?:\+?\d[\d\s().-]{5,}\d)(?!\w)", "[PHONE]", None),
+)
+_CHECKS = {"card": lambda x: len(x) >= 13 and luhn(re.sub(r"\D", "", x)), "account": valid_iban}
+_REDACTED = [(re.compile(p), label, _CHECKS.get(check)) for p, label, check in REDACTED]
+
+
+def _labelled(found: str, label: str, check) -> str:
+    """The label for what was found, or for its longest part, from the start up to a gap, whose checksum is right."""
+    if check is None or check(found):
+        return label
+    for end in [m.start() for m in re.finditer(r"[ -]", found)][::-1]:
+        if check(found[:end]):
+            return label + found[end:]
+    return found
 
 
 def redact(text: str) -> str:
-    """Ids, cards with a right checksum, account numbers, addresses and phone numbers, in this order."""
-    text = _GOVERNMENT.sub("[GOVERNMENT_ID]", text)
-    text = _CARD.sub(lambda m: "[CARD]" if luhn(re.sub(r"\D", "", m[0])) else m[0], text)
-    text = _IBAN.sub(lambda m: "[IBAN]" if valid_iban(m[0]) else m[0], text)
-    text = _EMAIL.sub("[EMAIL]", text)
-    return _PHONE.sub("[PHONE]", text)
+    """Ids, cards and accounts with a right checksum, addresses and phone numbers become labels.
+
+    A word that follows an account number does not hide it.
+    """
+    for pattern, label, check in _REDACTED:
+        text = pattern.sub(lambda m: _labelled(m[0], label, check), text)  # noqa: B023
+    return text
 
 
 @F.pandas_udf(StringType())
-def redacted(texts: pd.Series) -> pd.Series:
+def _redacted(texts: pd.Series) -> pd.Series:
     return texts.map(lambda x: None if x is None else redact(x))
 
 
+def redacted(text: str) -> Column:
+    """``redact`` of a column; what has neither a digit nor an at sign is as it was."""
+    return F.when(F.col(text).rlike("[@\\p{Nd}]"), _redacted(F.col(text))).otherwise(F.col(text))
+
+
 def osa_distance(a: str, b: str, most: int) -> int:
     """Edits with swaps of neighbours; more than ``most`` is ``most`` + 1."""
     if abs(len(a) - len(b)) > most:

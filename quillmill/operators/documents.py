@@ -35,12 +35,16 @@ def chunk_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both profiles side by side: counts, sizes, duplicates."""
     d, out = table(spark, sf_dir, "documents"), None
     for profile in C.PROFILES:
-        size = F.length("content")
-        c = chunked(d, profile).agg(
-            F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("parents"), F.min(size).alias("shortest"), F.percentile(size, 0.5).alias("median"), F.round(F.avg(size), 3).alias("mean"),
-            F.percentile(size, 0.95).alias("p95"), F.max(size).alias("longest"), (F.count("*") - F.count_distinct(F.sha2("content", 256))).alias("duplicates"),
+        c = chunked(d, profile).select("doc_id", F.length("content").alias("n"), F.sha2("content", 256).alias("h"))
+        whole = c.agg(
+            F.count("*").alias("chunks"), F.count_distinct("doc_id").alias("parents"), F.min("n").alias("shortest"), F.percentile("n", 0.5).alias("median"), F.round(F.avg("n"), 3).alias("mean"),
+            F.max("n").alias("longest"), (F.count("*") - F.count_distinct("h")).alias("duplicates"),
         )
-        c = c.withColumn("profile", F.lit(profile))
+        # nearest rank over the counts by size, of which a profile bounds the number
+        upto = c.groupBy("n").agg(F.count("*").alias("k")).withColumn("upto", F.sum("k").over(Window.orderBy("n")))
+        rank = F.bround((F.col("chunks") - 1) * F.lit(0.95).cast("double"), 0)
+        p95 = upto.join(F.broadcast(whole.select("chunks"))).filter(F.col("upto") > rank).agg(F.min("n").alias("p95"))
+        c = whole.join(F.broadcast(p95)).withColumn("profile", F.lit(profile))
         out = c if out is None else out.unionByName(c)
     return out
 

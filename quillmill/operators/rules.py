@@ -43,13 +43,14 @@ def glossary_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
   ON contains(m.t, ' ' || lower(r.r_name) || ' ') AND length(r_name) > 2 GROUP BY r_name""",
 )
 def market_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole names of markets in padded text; the list of markets is a dimension of a few rows and its size is checked."""
-    regions = table(spark, sf_dir, "region").select(F.lower("r_name").alias("name"), "r_name").filter(F.length("r_name") > 2)
-    names = [(r["name"], r["r_name"]) for r in regions.limit(500).collect()]
+    """Whole names of markets in a text, by an equi-join of the names' words with the text's windows of as many words."""
+    regions = table(spark, sf_dir, "region").filter(F.length("r_name") > 2).select("r_name", F.lower("r_name").alias("name"))
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region").withColumnRenamed("r_name", "in_region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.concat("n_name", F.lit(" of "), "in_region")), "[^a-z0-9]+", " "), F.lit(" "))
-    hits = F.array_compact(F.array(*[F.when(padded.contains(f" {low} "), F.lit(name)) for low, name in names]))
-    return n.select(F.explode(hits).alias("r_name")).groupBy("r_name").agg(F.count("*").alias("n"))
+    words = F.split(F.trim(F.regexp_replace(F.lower(F.concat("n_name", F.lit(" of "), "in_region")), "[^a-z0-9]+", " ")), " ")
+    longest = regions.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1
+    window = lambda k: F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
+    said = n.select("n_nationkey", words.alias("w")).select("n_nationkey", F.explode(F.array_distinct(F.flatten(F.array(*[window(k) for k in range(1, longest + 1)])))).alias("name"))
+    return said.join(regions, "name").groupBy("r_name").agg(F.count("*").alias("n"))
 
 
 @register(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import html
 import io
 import re
 import zipfile
@@ -22,7 +24,7 @@ def read_sections(spark: SparkSession, path: str, schema: str = SECTION) -> Data
 
 def read_csv_pages(spark: SparkSession, path: str) -> DataFrame:
     """Each record's fields joined by " | "."""
-    rows = spark.read.option("header", False).csv(path)
+    rows = spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
     return rows.select(F.concat_ws(" | ", *rows.columns).alias("content"))
 
 
@@ -118,8 +120,10 @@ def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
                 if kind == "docx":
                     text = docx_text(data)
                 elif kind in ("html", "htm"):
-                    text = re.sub(r"<[^>]*>", " ", _decoded(data))
-                elif kind in ("txt", "md", "csv", "json"):
+                    text = html.unescape(re.sub(r"<[^>]*>", " ", _decoded(data)))
+                elif kind == "csv":
+                    text = "\n".join(" | ".join(r) for r in csv.reader(io.StringIO(_decoded(data), newline="")) if r)
+                elif kind in ("txt", "md", "json"):
                     text = _decoded(data)
                 rows.append((p, kind, text))
             yield pd.DataFrame(rows, columns=["path", "kind", "text"])

@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Callable
 from xml.sax.saxutils import escape
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,10 @@ def write_sections(rows: DataFrame, path: str) -> None:
 
 
 def sheet_xml(rows: DataFrame, columns: tuple[str, ...]) -> str:
-    """One sheet of inline strings: no cell can be a formula, control characters go; a report of bounded length."""
-    cells = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).limit(MOST_SHEET_ROWS).collect()
+    """One sheet of inline strings: no cell can be a formula, control characters go; a longer report than a sheet may have fails."""
+    cells = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns]).limit(MOST_SHEET_ROWS + 1).collect()
+    if len(cells) > MOST_SHEET_ROWS:
+        raise ValueError(f"a report has at most {MOST_SHEET_ROWS} rows; export longer ones as CSV")
     clean = lambda x: escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", x))
     lines = [columns, *cells]
     return "<worksheet><sheetData>" + "".join("<row>" + "".join(f'<c t="inlineStr"><is><t>{clean(str(x))}</t></is></c>' for x in r) + "</row>" for r in lines) + "</sheetData></worksheet>"
@@ -78,13 +81,27 @@ def publish_generation(rows: DataFrame, root: str, generation: str, expected: in
     found = spark.read.parquet(path).count()
     if found != expected:
         raise ValueError(f"{found} rows were written and {expected} expected")
-    spark.range(1).select(F.lit(generation).alias("generation"), F.lit(found).alias("n")).coalesce(1).write.mode("overwrite").json(f"{root}/pointer")
+    # pointers are only ever added, and a write that breaks off is never seen, so some generation is active at all times
+    newest = _pointers(spark, root)
+    number = (newest.agg(F.max("number")).first()[0] or 0) + 1 if newest is not None else 1
+    pointer = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(generation).alias("generation"), F.lit(found).cast("long").alias("n"))
+    pointer.coalesce(1).write.mode("append").json(f"{root}/pointer")
     return active_generation(spark, root)
 
 
+def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
+    """All pointers that were ever written, or None before the first one."""
+    try:
+        return spark.read.schema("number long, generation string, n long").json(f"{root}/pointer")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def active_generation(spark: SparkSession, root: str) -> DataFrame:
-    """Rows of the generation that the pointer names."""
-    name = spark.read.schema("generation string, n long").json(f"{root}/pointer").first()["generation"]
+    """Rows of the generation that the newest pointer names."""
+    name = _pointers(spark, root).orderBy(F.desc("number")).first()["generation"]
     return spark.read.parquet(f"{root}/generation={name}")
 
 

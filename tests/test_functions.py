@@ -52,9 +52,9 @@ def test_directory_fields():
 @pytest.mark.parametrize(
     ("text", "want"),
     [
-        ("card 4111 1111 1111 1111 ok", "card [CARD] ok"),
+        ("card 4111 1111 1111 1111 ok", "card [PAYMENT_CARD] ok"),
         ("id 123-45-6789", "id [GOVERNMENT_ID]"),
-        ("pay DE89 3704 0044 0532 0130 00 now", "pay [IBAN] now"),
+        ("pay DE89 3704 0044 0532 0130 00 now", "pay [BANK_ACCOUNT] now"),
         ("mail a.b@c.org", "mail [EMAIL]"),
         ("call +41 44 123 45 67", "call [PHONE]"),
     ],
@@ -133,6 +133,13 @@ def test_breaker_opens_and_recovers():
     assert list(S.breaker([(0, True), (1, True), (2, False), (11, False)], [0.0, 0.0], 2, 10)) == [True, True, False, True]
 
 
+def test_circuits_stay_open_over_midnight(spark):
+    day = 86_400.0
+    rows = [(1, 1, day - 7200, True), (1, 2, day - 7100, True), (1, 3, day + 10, False), (1, 4, day + S.OPEN_S, False), (2, 5, day - 10, True), (2, 6, day + 10, True), (2, 7, day + 20, False), (3, 8, None, True)]
+    got = {r["event_id"]: r["closed"] for r in S.circuit_states(spark.createDataFrame(rows, "user_id long, event_id long, t double, failed boolean")).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False, 8: None}
+
+
 def test_streams(spark, small, tmp_path):
     from quillmill.sources.views import table
 
@@ -140,10 +147,15 @@ def test_streams(spark, small, tmp_path):
     e = table(spark, small, "events").select("user_id", "event_id", S._seconds().alias("t"), F.col("ts").cast("timestamp").alias("ts"), "event_type")
     e.coalesce(1).write.parquet(src)
     stream = spark.readStream.schema(e.schema).parquet(src)
-    q = S.rate_limited_stream(stream.select("user_id", "event_id", "t")).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {(r["event_id"], r["allowed"]) for r in spark.table("limited").collect()}
-    assert got == {(r["event_id"], r["allowed"]) for r in S.rate_limit_log(spark, small).collect()}
+    late = "1 second"
+    calls = stream.select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == "error").alias("failed"))
+    waiting = {r["event_id"] for r in e.filter(F.col("t") > e.agg(F.max("t")).first()[0] - 1).collect()}
+    for name, started, batch in (("limited", S.rate_limited_stream(calls, late), S.rate_limit_log), ("circuits", S.circuit_stream(calls, late), S.circuit_breaker)):
+        q = started.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        got = {tuple(r) for r in spark.table(name).collect()}
+        want = {tuple(r) for r in batch(spark, small).collect()}
+        assert got <= want and {i for i, _ in want - got} <= waiting  # the last second is still open
     q = S.alarm_stream(stream).writeStream.format("memory").queryName("alarms").outputMode("complete").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("alarms").agg(F.sum("total")).first()[0] == e.count()
