@@ -67,18 +67,18 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def document_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, term, tf and the document's length in terms."""
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("terms"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)).alias("terms"))
     return d.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
 
 
 _TERMS = """qt AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM benchmark),
-ds AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS terms FROM documents WHERE lang = 'en'),
+ds AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{4,}') AS terms FROM documents),
 dt AS (SELECT doc_id, len(terms) AS length, term, count(*) AS tf FROM (SELECT doc_id, terms, unnest(terms) AS term FROM ds) t GROUP BY doc_id, len(terms), term),
 df AS (SELECT term, count(*) AS df FROM dt GROUP BY term), nn AS (SELECT count(*) AS n, avg(len(terms)) AS avgdl FROM ds)"""
 
 
 def _collection(spark: SparkSession, sf_dir: str) -> tuple[int, float]:
-    d = table(spark, sf_dir, "documents").filter("lang = 'en'")
+    d = table(spark, sf_dir, "documents")
     n, mean = d.agg(F.count("*"), F.avg(F.size(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0))))).first()
     return n, mean or 1.0
 

@@ -183,7 +183,7 @@ def year_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "citation_support",
-    """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents WHERE doc_id < 0 OR lang = 'en'),
+    """WITH b AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM documents),
 p AS (SELECT item_id, doc_id, len(list_intersect(b.w, d.w)) / len(b.w) AS share FROM b JOIN (SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, unnest(w) AS t FROM b) x JOIN (SELECT doc_id, unnest(w) AS t FROM d) y USING (t)) c USING (item_id) JOIN d USING (doc_id) WHERE len(b.w) > 0)
 SELECT item_id, count(*) FILTER (WHERE share >= 0.35) AS supported, round(max(share), 6) AS best FROM p GROUP BY item_id""",
 )
@@ -191,7 +191,7 @@ def citation_support(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts support a statement: the share of its words that they hold, counted through an equi-join on words."""
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
     b = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).select("item_id", F.size("w").alias("n"), F.explode("w").alias("t"))
-    d = docs(spark, sf_dir).filter("lang = 'en'").select("doc_id", F.explode(words).alias("t"))
+    d = docs(spark, sf_dir).select("doc_id", F.explode(words).alias("t"))
     asked = d.join(b.select("t").distinct(), "t", "left_semi")
     share = asked.join(b, "t").groupBy("item_id", "n", "doc_id").agg((F.count("*") / F.first("n")).alias("share"))
     return share.groupBy("item_id").agg(F.count_if(F.col("share") >= 0.35).alias("supported"), F.round(F.max("share"), 6).alias("best"))
@@ -211,7 +211,7 @@ def html_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("normal_forms")
 def normal_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir).filter("lang <> 'en'")
+    d = docs(spark, sf_dir)
     return d.select("doc_id", F.sha2(T.folded("text"), 256).alias("folded_hash"), F.sha2(T.without_accents("text"), 256).alias("plain_hash"))
 
 
