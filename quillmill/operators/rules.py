@@ -88,12 +88,12 @@ def reclassified_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "filter_tree",
-    """SELECT doc_id FROM documents WHERE (lang = 'en' OR source = 'src0') AND source IN ('src0', 'src1', 'src2') AND doc_id // 50 IN (0, 2, 4) AND NOT (n_chars > 20000) AND regexp_matches(lower(text), '(^|[^a-z0-9_])(the|und|que)($|[^a-z0-9_])')""",
+    """SELECT doc_id FROM documents WHERE (lang = 'en' OR source = 'src0') AND source IN ('src0', 'src1', 'src2') AND NOT (n_chars > 20000) AND regexp_matches(lower(text), '(^|[^a-z0-9_])(the|und|que)($|[^a-z0-9_])')""",
 )
 def filter_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Locale or global scope, sources, generations, sizes and a word-bounded pattern: plain predicates go down to the scan."""
+    """Locale or global scope, sources, sizes and a word-bounded pattern: plain predicates go down to the scan."""
     d = table(spark, sf_dir, "documents").filter((F.col("lang") == "en") | (F.col("source") == "src0")).filter(F.col("source").isin("src0", "src1", "src2"))
-    return d.filter(F.expr("doc_id div 50").isin(0, 2, 4)).filter(~(F.col("n_chars") > 20_000)).filter(F.lower("text").rlike(r"(^|[^a-z0-9_])(the|und|que)($|[^a-z0-9_])")).select("doc_id")
+    return d.filter(~(F.col("n_chars") > 20_000)).filter(F.lower("text").rlike(r"(^|[^a-z0-9_])(the|und|que)($|[^a-z0-9_])")).select("doc_id")
 
 
 @register(
