@@ -153,6 +153,10 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
 # that meet and are not linked yet are compared too: by a join in small cells, where the
 # number of cells that a pair shares must reach what the similarity asks for, and by
 # blocks of members in dense cells.
+#
+# Before the texts of a pair meet, their parity bits do: which buckets of a hash table hold
+# an odd number of the shingles.  Two texts differ in at least as many shingles as bits, so
+# no pair of the similarity is lost, and texts travel for the pairs that are left.
 
 STAGE_SHINGLE = 5
 SIMILARITY = 0.8
@@ -179,6 +183,22 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, last, strict=False)], np.uint64))
 
 
+def parity_bits(hashes: np.ndarray) -> bytes:
+    """The number of shingles, and the buckets that hold an odd number of them: the least power of two of buckets that is not under that number, and 64 at least."""
+    size = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return len(hashes).to_bytes(4, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Do parity bits allow the similarity?  A larger table is folded to the size of the smaller one."""
+    n, m = int.from_bytes(a[:4], "little"), int.from_bytes(b[:4], "little")
+    x, y = np.frombuffer(a, np.uint8, offset=4), np.frombuffer(b, np.uint8, offset=4)
+    width = min(len(x), len(y))
+    x, y = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+    return int(np.bitwise_count(x ^ y).sum()) <= (n + m) * (1 - similarity) / (1 + similarity) + 1e-6
+
+
 def prefix(hashes: np.ndarray, late: np.ndarray, similarity: float) -> np.ndarray:
     """The first shingles of a text: those of ``late`` (sorted) come after all others, else the hash is the order."""
     if not len(hashes):
@@ -205,8 +225,8 @@ def frequent_shingles(docs: DataFrame, size: int = STAGE_SHINGLE) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, late: np.ndarray, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
-    """doc_id, digest of the words (two longs), number of shingles and the first shingles."""
-    schema = "doc_id long, h1 long, h2 long, n int, parts array<long>"
+    """doc_id, digest of the words (two longs), number of shingles, their parity bits and the first shingles."""
+    schema = "doc_id long, h1 long, h2 long, n int, bits binary, parts array<long>"
 
     def run(batches):
         import xxhash
@@ -216,8 +236,8 @@ def sketches(docs: DataFrame, late: np.ndarray, similarity: float = SIMILARITY,
             two = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join((x or "").encode("utf-8").lower().split())) for x in texts), "<i8").reshape(-1, 2)
             hashes = [shingle_hashes(x, size) for x in texts]
             parts = pa.array([prefix(h, late, similarity).view(np.int64) for h in hashes], pa.list_(pa.int64()))
-            n = pa.array([len(h) for h in hashes], pa.int32())
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), n, parts], ["doc_id", "h1", "h2", "n", "parts"])
+            n, bits = pa.array([len(h) for h in hashes], pa.int32()), pa.array([parity_bits(h) for h in hashes], pa.binary())
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), n, bits, parts], ["doc_id", "h1", "h2", "n", "bits", "parts"])
 
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, schema)
 
@@ -225,7 +245,8 @@ def sketches(docs: DataFrame, late: np.ndarray, similarity: float = SIMILARITY,
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
     """doc_id and ``root``: the smallest id of the group that similar texts form."""
     every = stored(sketches(docs, frequent_shingles(docs, size), similarity, size), "sketches")
-    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("parts").alias("parts")), "texts")
+    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parts").alias("parts")), "texts")
+    bits = texts.select(F.col("rep").alias("id"), F.col("bits").alias("v"))
 
     members = texts.select("rep", "n", F.explode("parts").alias("s"))
     cells = stored(members.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1"), "cells")
@@ -238,9 +259,9 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
     met = shared.join(ends, "s").select(F.col("rep").alias("x"), "n", F.explode(F.array("least", "most")).alias("y")).filter(_sizes("n", "y.n", similarity))
     pairs = met.select("x", F.col("y.rep").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    alike = stored(verified(stored(pairs, "pairs"), docs, similarity, size), "alike")
+    alike = stored(verified(stored(pairs, "pairs"), bits, docs, similarity, size), "alike")
     roots = stored(components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "linked"), "linked-roots")
-    alike = alike.unionByName(stored(unlinked(shared, roots, docs, similarity, size), "alike"))
+    alike = alike.unionByName(stored(unlinked(shared, roots, bits, docs, similarity, size), "alike"))
     roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
     named = texts.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
     return every.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "root")
@@ -251,7 +272,7 @@ def _sizes(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
 
 
-def unlinked(shared: DataFrame, roots: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+def unlinked(shared: DataFrame, roots: DataFrame, bits: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
     """Similar pairs (x, y) of members of one cell that have different roots, at least one for each two roots that have any."""
     rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     rooted = stored(rooted, "rooted")
@@ -268,7 +289,7 @@ def unlinked(shared: DataFrame, roots: DataFrame, docs: DataFrame, similarity: f
     need = (F.col("nx") + F.col("ny")) * (similarity / (1 + similarity)) - 1e-6
     # shingles in common that are not among the first of both lie beyond the first ones of one of them
     rest = F.ceil(F.greatest("nx", "ny") * similarity - 1e-6) - 1
-    small = verified(stored(pairs.filter(F.col("c") + rest >= need).select("x", "y"), "pairs"), docs, similarity, size)
+    small = verified(stored(pairs.filter(F.col("c") + rest >= need).select("x", "y"), "pairs"), bits, docs, similarity, size)
 
     # dense cells: the members outside the main root against all, block by block
     many = mixed.filter(F.col("k") > PAIR_LIMIT)
@@ -331,6 +352,9 @@ def _hashed(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, h binary")
 
 
+PAIRS_A_BLOCK = 2_000
+
+
 def one_a_document(docs: DataFrame) -> DataFrame:
     """Of rows that share an id, the one whose text has the least digest."""
     rank = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
@@ -338,29 +362,34 @@ def one_a_document(docs: DataFrame) -> DataFrame:
     return docs.withColumn(rank, first).filter(F.col(rank) == 1).drop(rank)
 
 
-PAIRS_A_BLOCK = 2_000
-
-
-def verified(pairs: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """The pairs (x, y) whose texts have the similarity, compared by their whole shingle sets.
+def _met(pairs: DataFrame, values: DataFrame, label: str) -> DataFrame:
+    """hub, leaf and their values s and t, of each pair (x, y); ``values`` has columns id and v.
 
     Each pair goes from its ``leaf``, which is in fewer pairs, to its ``hub``; so no leaf
     has more pairs than about the square root of all.  The pairs of a hub are dealt to
-    blocks of about PAIRS_A_BLOCK, and its text goes once to each.
+    blocks of about PAIRS_A_BLOCK, and its value goes once to each.
     """
-    pairs = pairs.select("x", "y")
     degree = stored(pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "degrees")
-    # texts rather than sets travel: they are smaller, and compress
-    texts = stored(one_a_document(docs.select("doc_id", "text").join(degree.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")), "asked")
+    asked = stored(values.join(degree, "id").select("id", "n", "v"), label)
     of = lambda k: degree.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"))
     met = pairs.join(of("x"), "x").join(of("y"), "y")
     turned = F.col("nx") >= F.col("ny")
     met = met.select(F.when(turned, F.col("x")).otherwise(F.col("y")).alias("hub"), F.when(turned, F.col("y")).otherwise(F.col("x")).alias("leaf"), F.greatest("nx", "ny").alias("n"))
     blocks = F.ceil(F.col("n") / PAIRS_A_BLOCK).cast("int")
-    leaves = met.withColumn("part", F.pmod(F.xxhash64("leaf"), blocks).cast("int")).join(texts.select(F.col("doc_id").alias("leaf"), F.col("text").alias("t")), "leaf")
-    hubs = texts.join(degree, F.col("doc_id") == F.col("id")).select(F.col("doc_id").alias("hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.col("text").alias("s"))
+    leaves = met.withColumn("part", F.pmod(F.xxhash64("leaf"), blocks).cast("int")).join(asked.select(F.col("id").alias("leaf"), F.col("v").alias("t")), "leaf")
+    hubs = asked.select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.col("v").alias("s"))
+    return leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "s", "t")
 
-    def run(batches):
+
+def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """The pairs (x, y) whose texts have the similarity: those whose parity bits (id, v) allow it, compared by their whole shingle sets."""
+
+    def possible(batches):
+        for b in batches:
+            keep = [may_be_alike(s, t, similarity) for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
+
+    def similar(batches):
         for b in batches:
             keep, last, mine = [], None, None
             for s, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
@@ -372,7 +401,10 @@ def verified(pairs: DataFrame, docs: DataFrame, similarity: float, size: int) ->
                 keep.append(union == 0 or shared >= similarity * union)
             yield pa.record_batch([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    return leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "s", "t").mapInArrow(run, "x long, y long")
+    left = stored(_met(pairs.select("x", "y"), bits, "asked-bits").mapInArrow(possible, "x long, y long").distinct(), "possible")
+    # texts rather than sets travel: they are smaller, and compress
+    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("v"))
+    return _met(left, texts, "asked").mapInArrow(similar, "x long, y long").distinct()
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:

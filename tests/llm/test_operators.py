@@ -745,3 +745,22 @@ def test_pipeline_keeps_clean_documents(spark, small):
     clean = [d for d in known if labels.get(d) == 0 and first[known[d]] == d]
     assert sum(d in ids for d in clean) >= 0.9 * len(clean)
     assert all(first[known[d]] == d for d in ids)
+
+
+def test_parity_bits_lose_no_similar_pair():
+    rng = np.random.default_rng(8)
+    refused = 0
+    for _ in range(400):
+        n = int(rng.integers(0, 700))
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        changed = a.copy()
+        swap = rng.random(len(a)) < rng.choice([0.0, 0.05, 0.1, 0.3, 1.0])
+        changed[swap] = rng.integers(0, 1 << 63, int(swap.sum()), dtype=np.uint64)
+        b = np.unique(changed[: int(len(a) * rng.choice([1, 0.95, 0.85, 0.5]))])
+        shared = len(np.intersect1d(a, b))
+        union = len(a) + len(b) - shared
+        allowed = simhash.may_be_alike(simhash.parity_bits(a), simhash.parity_bits(b), 0.8)
+        if union == 0 or shared >= 0.8 * union:
+            assert allowed
+        refused += not allowed
+    assert refused > 100
