@@ -30,7 +30,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillmill.llm.common import stored
@@ -348,7 +348,7 @@ def _hashed(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([shingle_hashes(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "h"])
 
-    texts = one_a_document(docs.select("doc_id", "text").join(asked, "doc_id", "left_semi"))
+    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi")
     return texts.mapInArrow(run, "doc_id long, h binary")
 
 
@@ -356,10 +356,12 @@ PAIRS_A_BLOCK = 2_000
 
 
 def one_a_document(docs: DataFrame) -> DataFrame:
-    """Of rows that share an id, the one whose text has the least digest."""
-    rank = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.sha2("text", 256).asc_nulls_first()))
-    return docs.withColumn(rank, first).filter(F.col(rank) == 1).drop(rank)
+    """Of rows that share an id, the one whose text has the least digest, null first; only such rows are shuffled."""
+    several = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "repeated-ids")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rank = F.struct(F.coalesce(F.sha2("text", 256), F.lit("")), F.to_json(row))
+    chosen = docs.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, rank).alias("row")).select("row.*")
+    return docs.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen)
 
 
 def _met(pairs: DataFrame, values: DataFrame, label: str) -> DataFrame:
@@ -410,8 +412,8 @@ def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, similarity: flo
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
     """The rows of ``docs`` that have the smallest id of their group of similar texts, one row for an id; rows without an id stay.
 
-    Blank texts are similar to one another.  Of rows that share an id and differ in text, the one with the least digest of its text stays, where one of them does.
+    Blank texts are similar to one another.  Of rows that share an id and differ in text, only the one with the least digest of its text counts.
     """
-    stay = similar_groups(docs, similarity, size).filter("doc_id = root").select("doc_id").distinct()
-    named = one_a_document(docs.join(stay, "doc_id", "left_semi").select(*docs.columns))
-    return named.unionByName(docs.filter("doc_id is null"))
+    one = one_a_document(docs.filter("doc_id is not null"))
+    gone = stored(similar_groups(one, similarity, size).filter("doc_id <> root").select("doc_id"), "gone")
+    return one.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
