@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import stored
+from quillmill.llm.common import release_shuffles, stored
 from quillmill.llm.graph import components
 
 SEED = 42
@@ -251,6 +251,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     members = texts.select("rep", "n", F.explode("parts").alias("s"))
     cells = stored(members.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1"), "cells")
     shared = stored(members.join(cells, "s"), "shared")
+    release_shuffles(docs.sparkSession)
     # a text's weight is the number of its shingles that others have
     weights = stored(shared.groupBy("rep").agg(F.count("*").alias("w")), "weights")
     weighed = stored(shared.join(weights, "rep"), "weighed")
@@ -261,6 +262,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
     pairs = met.select("x", F.col("y.rep").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     alike = stored(verified(stored(pairs, "pairs"), bits, docs, similarity, size), "alike")
     roots = stored(components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "linked"), "linked-roots")
+    release_shuffles(docs.sparkSession)
     alike = alike.unionByName(stored(unlinked(shared, roots, bits, docs, similarity, size), "alike"))
     roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
     named = texts.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
@@ -289,6 +291,7 @@ def unlinked(shared: DataFrame, roots: DataFrame, bits: DataFrame, docs: DataFra
     need = (F.col("nx") + F.col("ny")) * (similarity / (1 + similarity)) - 1e-6
     # shingles in common that are not among the first of both lie beyond the first ones of one of them
     rest = F.ceil(F.greatest("nx", "ny") * similarity - 1e-6) - 1
+    release_shuffles(docs.sparkSession)
     small = verified(stored(pairs.filter(F.col("c") + rest >= need).select("x", "y"), "pairs"), bits, docs, similarity, size)
 
     # dense cells: the members outside the main root against all, block by block
