@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmill.llm import license_scan, quality_rules, secret_scan
+from quillmill.llm import lexical_search, license_scan, quality_rules, secret_scan
 
 
 def _text(s: str) -> str:
@@ -76,4 +76,14 @@ s0 AS (SELECT d.doc_id, coalesce(ids, []) AS ids, ' ' || array_to_string(coalesc
 SELECT doc_id, len(ids) AS n_sentences, array_to_string(ids, ',') AS sentence_ids, array_to_string(list_sort(list_distinct(found)), ',') AS licences FROM {last}"""
 
 
-ORACLE_SQL = {"op2_quality_rules": quality_sql(), "op7_secret_scan": secrets_sql(), "op10_license_scan": licences_sql()}
+def search_sql() -> str:
+    found = lambda table, key: rf"SELECT {key}, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_text(lexical_search.TERM)}) AS t FROM {table}"
+    return f"""WITH d AS (SELECT * FROM ({found('documents', 'doc_id')}) x WHERE len(t) > 0), c AS (SELECT count(*) AS n_docs, CAST(coalesce(sum(len(t)), 0) AS BIGINT) AS n_terms FROM d),
+q AS (SELECT DISTINCT item_id, unnest(t) AS term FROM ({found('benchmark', 'item_id')}) x),
+p AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) x WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term),
+s AS (SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY item_id, r, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) x WHERE rank <= 50"""
+
+
+ORACLE_SQL = {"op11_lexical_search": search_sql(), "op2_quality_rules": quality_sql(), "op7_secret_scan": secrets_sql(), "op10_license_scan": licences_sql()}

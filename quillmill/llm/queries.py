@@ -80,6 +80,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences(documents(prepare(spark), sf_dir))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.lexical_search import ranked
+
+    return ranked(documents(prepare(spark), sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.language_id import fit, identified
+
+    docs = documents(prepare(spark), sf_dir)
+    return identified(docs, fit(docs))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quillmill.llm.conversation_repair import audited, damaged
+
+    return audited(damaged(documents(prepare(spark), sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_quality_rules": op2_quality_rules,
@@ -91,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": op8_simhash,
     "op9_media_columns": op9_media_columns,
     "op10_license_scan": op10_license_scan,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_language_id": op12_language_id,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -32,4 +32,11 @@ def _written(path, docs, labels):
     pq.write_table(docs, path / "documents.parquet")
     ids, toxic = [a for a, _ in labels], [b for _, b in labels]
     pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "quality": pa.array(toxic, pa.int32()), "toxic": pa.array(toxic, pa.int32())}), path / "labels.parquet")
+    some = docs.num_rows > 0
+    items = [(1, "the quick house"), (1, "lamp"), (2, None), (3, ""), (None, "idiot")] if some else []
+    pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": pa.array([t for _, t in items], pa.string()), "term": ["x"] * len(items), "block": [1] * len(items)}), path / "benchmark.parquet")
+    turns = [(1, 0, "user", "Hi."), (1, 1, "assistant", "Hello."), (1, 1, "assistant", "Hello."), (2, None, None, None), (None, 3, "user", ""), (3, 5, "system", "w " * 50_000)] if some else []
+    types = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    columns = {n: pa.array([t[j] for t in turns], k) for j, (n, k) in enumerate(zip(("conv_id", "turn", "role", "text"), types, strict=True))}
+    pq.write_table(pa.table(columns | {n: [n] * len(turns) for n in ("at", "seg", "letters", "fault", "times", "digest")}), path / "conversations.parquet")
     return str(path)

@@ -8,7 +8,7 @@ import corpus_pipeline
 from quillmill.llm.common import documents, prepare, stored
 from quillmill.llm.queries import QUERIES
 
-A_ROW_EACH = [n for n in QUERIES if n.split("_")[0] not in ("op3", "op4")]
+A_ROW_EACH = [n for n in QUERIES if n.split("_")[0] not in ("op3", "op4", "op11", "op13")]
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -24,6 +24,11 @@ def test_odd_tables(spark, odd_dir, name):
         assert all(len(v) == 1 for v in by_id.values())  # repeated rows repeat their result
     elif name.startswith("op4"):
         assert set(ids) == {r["doc_id"] for r in rows} and sum(r["piece"] == 0 for r in rows) == sum(ids.values())
+    elif name.startswith("op11"):
+        found = {i: [r["doc_id"] for r in rows if r["item_id"] == i] for i in (1, 2, 3, None)}
+        assert set(found[1]) >= {1, 7, 8} and found[1].count(1) == 2 and not found[2] and not found[3] and found[None] == [14]
+    elif name.startswith("op13"):
+        assert sorted(map(str, (r["conv_id"] for r in rows))) == ["1", "2", "3", "None"]
     else:
         assert {r["doc_id"] for r in rows} == {5, 6, 7, 8}
 
@@ -31,7 +36,7 @@ def test_odd_tables(spark, odd_dir, name):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, empty_dir, name):
     df = QUERIES[name](spark, empty_dir)
-    assert df.count() == 0 and "doc_id" in df.columns
+    assert df.count() == 0 and ("conv_id" if name.startswith("op13") else "doc_id") in df.columns
 
 
 @pytest.mark.parametrize("folder", ["odd_dir", "empty_dir"])
@@ -54,5 +59,5 @@ def test_stages(spark, folder, request):
 
 
 def test_names():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 14)]
     assert len(corpus_pipeline.STAGES) == 5
