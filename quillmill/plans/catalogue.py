@@ -32,6 +32,8 @@ MODULES = (
     "quillmill.operators.analytics",
     "quillmill.operators.lifecycle",
     "quillmill.operators.retrieval",
+    "quillmill.operators.search",
+    "quillmill.operators.nearest",
     "quillmill.operators.text_quality",
     "quillmill.operators.documents",
     "quillmill.operators.rules",
