@@ -245,11 +245,11 @@ class Codec:
         return b"".join(found)
 
     def encode(self, text: str) -> np.ndarray:
+        self.memo.turn()
+        self.parts.turn()
         if self.odd(text):
             return np.frombuffer(self._ids(text), "<u4")
         chunks, memo = self.chunks(text), self.memo
-        memo.turn()
-        self.parts.turn()
         for c in memo.missing([chunks]):
             memo.keep(c, self._ids(c))
         return np.frombuffer(b"".join(map(memo.__getitem__, chunks)), "<u4")

@@ -65,6 +65,14 @@ def test_bpe_survives_forgetting(library, monkeypatch):
         assert c.encode(x).tolist() == library.encode_ordinary(x)
 
 
+def test_bpe_memo_stays_bounded_on_texts_with_other_white_space(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "MEMO_LIMIT", 50)
+    c = byte_bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    for i in range(300):
+        c.encode(f"word{i}a\u00a0other{i}b\u3000third{i}c")
+        assert len(c.parts) <= 50 + 50
+
+
 def test_bpe_query(spark, small, library):
     known = texts(spark, small)
     for r in QUERIES["op1_byte_bpe"](spark, small).collect():
