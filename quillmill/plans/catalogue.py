@@ -34,6 +34,7 @@ MODULES = (
     "quillmill.operators.retrieval",
     "quillmill.operators.search",
     "quillmill.operators.nearest",
+    "quillmill.operators.answers",
     "quillmill.operators.text_quality",
     "quillmill.operators.documents",
     "quillmill.operators.rules",
