@@ -37,6 +37,7 @@ MODULES = (
     "quillmill.operators.answers",
     "quillmill.operators.text_quality",
     "quillmill.operators.documents",
+    "quillmill.operators.sections",
     "quillmill.operators.rules",
     "quillmill.streaming.state",
 )
