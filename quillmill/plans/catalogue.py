@@ -35,6 +35,7 @@ MODULES = (
     "quillmill.operators.search",
     "quillmill.operators.nearest",
     "quillmill.operators.answers",
+    "quillmill.operators.directory",
     "quillmill.operators.text_quality",
     "quillmill.operators.documents",
     "quillmill.operators.sections",
