@@ -171,3 +171,26 @@ def directory_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     answer = case(F.concat(F.lit("Telephone Office: "), phone, F.lit("\nFax: none\nEmail: info@example.org")), F.lit("We are open."), F.concat(F.lit("Call "), phone, F.lit(".")))
     out = repaired(r.withColumn("question", question).withColumn("answer", answer))
     return out.select("s_suppkey", F.size("known").alias("fields"), "repaired")
+
+
+#: A record begins with its title, above a line that names its kind and one with its country.
+RECORD_START = r"(?m)(?=^[^\n]+\n(?:Operating )?Country\n[^\n]+$)"
+
+
+def records(text: Column) -> Column:
+    """The records of a directory's text, in order: ``kind`` (office or staff), ``title``, ``country``, ``content`` and ``record_id``.
+
+    Numbers in ids count each kind by itself; e-mail addresses that a line end broke are put together first.
+    """
+    whole = F.regexp_replace(F.coalesce(text, F.lit("")), r"([\w.+-]+@[\w.-]+)\n([A-Za-z0-9-]{1,20}\.[A-Za-z]{2,})", "$1$2")
+    whole = F.regexp_replace(whole, r"([\w.+-]+)\n(@[\w.-]+\.[A-Za-z]{2,})", "$1$2")
+    found = F.filter(F.split(whole, RECORD_START), lambda x: x.rlike(r"^[^\n]+\n(?:Operating )?Country\n[^\n]+"))
+    line = lambda x, k: F.trim(F.regexp_replace(F.get(F.split(x, "\n"), F.lit(k)), r"\s+", " "))
+    kind = lambda x: F.when(line(x, 1) == "Country", "office").otherwise("staff")
+
+    def record(x: Column, i: Column) -> Column:
+        number = F.size(F.filter(F.slice(found, F.lit(1), i + 1), lambda y: kind(y) == kind(x)))
+        name = F.substring(F.regexp_replace(F.regexp_replace(F.lower(line(x, 0)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, 80)
+        return F.struct(kind(x).alias("kind"), line(x, 0).alias("title"), line(x, 2).alias("country"), stripped(x).alias("content"), F.concat_ws("-", kind(x), F.lpad(number.cast("string"), 3, "0"), name).alias("record_id"))
+
+    return F.transform(found, record)

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill.functions import text as T
+from quillmill.operators.retrieval import bm25_search
 from quillmill.plans.catalogue import register
 from quillmill.sources.views import table
 
@@ -300,3 +302,49 @@ def cover_density_search(spark: SparkSession, sf_dir: str, k: int = 20, operands
     best = ranked.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k)
     tightest = F.array_min(F.transform("found", lambda c: c["stop"] - c["start"] + 1))
     return best.select("item_id", "doc_id", F.size("found").cast("long").alias("covers"), tightest.alias("tightest"), F.round("score", 6).alias("score"), "rank")
+
+
+# The score of a section for a question: how it was found, and what both have in common.
+
+
+def known_words(text: Column) -> Column:
+    """Different words of two letters and more, in order."""
+    return F.filter(F.array_distinct(analysed(text)), lambda w: F.length(w) > 1)
+
+
+def section_score(found: Column, question: Column, section_id: Column, title: Column, content: Column, words: Column, phrases: Column) -> Column:
+    """``found`` and what the question shares with a section's id, title and text.
+
+    ``words`` and ``phrases`` are the question's, made once a row.  A title, phrase or
+    word with a digit that both have is the section's own topic, of which the strongest counts.
+    """
+    asked, name, text = T.squeezed(F.lower(question)), T.squeezed(F.lower(title)), T.squeezed(F.lower(content))
+    head = lambda n: T.squeezed(F.lower(F.substring(content, 1, n)))
+    near = T.overlap(T.character_grams(question), T.character_grams(title))
+    of_text = F.size(F.array_intersect(words, known_words(F.substring(text, 1, 2000))))
+    score = found + F.when((section_id != "") & F.contains(asked, F.lower(section_id)), 0.75).otherwise(0.0)
+    score = score + F.when((name != "") & F.contains(asked, name), 0.8).otherwise(0.0) + F.when(near >= 0.68, near * 1.1).otherwise(0.0)
+    score = score + F.when(F.size(words) > 0, of_text / F.size(words) * 0.35).otherwise(0.0)
+
+    def best(items: Column, in_title: float, in_text: float) -> Column:
+        values = F.transform(items, lambda p: F.when(F.contains(name, p), in_title).when(F.contains(head(1800), p), in_text).otherwise(0.0))
+        return F.coalesce(F.array_max(values), F.lit(0.0))
+
+    numbered = F.filter(words, lambda w: (F.length(w) >= 4) & w.rlike("[0-9]"))
+    topic = F.greatest(F.when((F.length(name) >= 3) & F.contains(asked, name), 1.6).otherwise(0.0), best(phrases, 1.5, 0.65), best(numbered, 1.8, 0.9))
+    each = F.transform(phrases, lambda p: F.when(F.contains(name, p), 0.35).when(F.contains(head(800), p), 0.12).otherwise(0.0))
+    return F.round(score + topic + F.aggregate(each, F.lit(0.0), lambda s, x: s + x), 5)
+
+
+@register("section_ranks")
+def section_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts found for each question, by the score of a section; a test holds it against a plain computation over the whole table."""
+    found = bm25_search(spark, sf_dir).select("item_id", "doc_id", F.col("score").alias("found"))
+    q = table(spark, sf_dir, "benchmark").select("item_id", F.coalesce("text", F.lit("")).alias("question"))
+    content = F.coalesce("text", F.lit(""))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string")).alias("section_id"), F.regexp_extract(content, r"^[^.\n]*", 0).alias("title"), content.alias("content"))
+    pairs = found.join(q.withColumn("words", known_words(F.col("question"))).withColumn("phrases", T.key_phrases(F.col("words"))), "item_id").join(d, "doc_id")
+    names = ("found", "question", "section_id", "title", "content", "words", "phrases")
+    scored = pairs.select("item_id", "doc_id", section_score(*map(F.col, names)).alias("score"))
+    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc("doc_id"))
+    return scored.withColumn("rank", F.row_number().over(order).cast("long"))

@@ -75,3 +75,13 @@ def test_digits_and_nulls(spark):
     a, b = directory.repaired(df).collect()
     assert a["repaired"].startswith("Ring 12-3456789 now\n\nAddress: ") and "Telephone Office" not in a["repaired"]
     assert b["repaired"] == "" and b["known"] == []
+
+
+def test_records_of_a_directory(spark):
+    text = "Source worksheet: 1\nNorth Office\nCountry\nNorland\nEmail\nnorth@har\nbour.example\nSouth\nCountry\nSudland\nFax 1\nAnn  Bell\nOperating Country\nNorland\nTitle\nHead\nEast!\nCountry\nEastland"
+    got = spark.createDataFrame([(text,), (None,), ("Country\nX",)], "t string").select(directory.records(F.col("t"))).collect()
+    assert [(r["kind"], r["title"], r["country"], r["record_id"]) for r in got[0][0]] == [
+        ("office", "North Office", "Norland", "office-001-north-office"), ("office", "South", "Sudland", "office-002-south"),
+        ("staff", "Ann Bell", "Norland", "staff-001-ann-bell"), ("office", "East!", "Eastland", "office-003-east"),
+    ]
+    assert got[0][0][0]["content"] == "North Office\nCountry\nNorland\nEmail\nnorth@harbour.example" and got[1][0] == got[2][0] == []

@@ -3,10 +3,12 @@
 import collections
 import itertools
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillmill.functions import text as T
 from quillmill.operators import nearest, search
 from quillmill.operators.retrieval import unit_vectors
 
@@ -88,3 +90,48 @@ def test_same_vector_many_times(spark):
     v = spark.createDataFrame(rows, "vec_id long, label int, v array<double>")
     got = nearest.neighbours(v, v.filter("vec_id = 20"), exact=True).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == list(range(10)) and collections.Counter(r["score"] for r in got) == {1.0: 10}
+
+
+def score_by_hand(found, question, section_id, title, content):
+    words = [w for w in dict.fromkeys(re.findall(r"[^\W_]+", question.lower())) if len(w) > 1]
+    phrases = list(dict.fromkeys(" ".join(words[i : i + n]) for n in (4, 3, 2) for i in range(len(words) - n + 1)))[:12]
+    squeeze = lambda x: " ".join(x.lower().split())
+
+    def grams(x):
+        s = re.sub(r"[\W_]", "", x.lower())
+        return {s[i : i + 3] for i in range(max(len(s) - 2, 1))} if s else set()
+
+    asked, name = squeeze(question), squeeze(title)
+    g, h = grams(question), grams(title)
+    near = len(g & h) / min(len(g), len(h)) if g and h else 0
+    text_words = set(re.findall(r"[^\W_]+", squeeze(content)[:2000]))
+    score = found + 0.75 * (section_id in asked) + 0.8 * bool(name and name in asked) + (near * 1.1 if near >= 0.68 else 0)
+    score += 0.35 * len(set(words) & text_words) / len(words) if words else 0
+    topic = [0.0, 1.6 * (len(name) >= 3 and name in asked)]
+    early = squeeze(content[:1800])
+    topic += [1.5 if p in name else 0.65 if p in early else 0 for p in phrases]
+    topic += [1.8 if w in name else 0.9 if w in early else 0 for w in words if len(w) >= 4 and re.search("[0-9]", w)]
+    return score + max(topic) + sum(0.35 if p in name else 0.12 if p in squeeze(content[:800]) else 0 for p in phrases)
+
+
+def test_section_scores_of_the_whole_table(spark, small):
+    from quillmill.operators.retrieval import bm25_search
+    from quillmill.sources.views import table
+
+    docs = {r["doc_id"]: r for r in table(spark, small, "documents").collect()}
+    items = {r["item_id"]: r["text"] for r in table(spark, small, "benchmark").collect()}
+    got = {(r["item_id"], r["doc_id"]): r["score"] for r in search.section_ranks(spark, small).collect()}
+    found = bm25_search(spark, small).collect()
+    assert len(got) == len(found) > 100
+    for r in found:
+        d = docs[r["doc_id"]]
+        want = score_by_hand(r["score"], items[r["item_id"]], f"{d['source']}-{d['doc_id']}", re.match(r"[^.\n]*", d["text"])[0], d["text"])
+        assert abs(got[r["item_id"], r["doc_id"]] - want) < 2e-5
+
+
+def test_section_score_of_a_named_topic(spark):
+    rows = [(0.5, "What does plan-7 Harbour Fees say on tariff2024 fees?", "plan-7", "Harbour  Fees", "The tariff2024 lists fees."), (0.0, "", "", "", ""), (1.0, "zz", "a", "Nothing here", "else")]
+    df = spark.createDataFrame(rows, "found double, question string, section_id string, title string, content string")
+    df = df.withColumn("words", search.known_words(F.col("question"))).withColumn("phrases", T.key_phrases(F.col("words")))
+    got = [r[0] for r in df.select(search.section_score(*(F.col(c) for c in df.columns))).collect()]
+    assert abs(got[0] - score_by_hand(*rows[0])) < 1e-5 and got[0] > 3 and got[1:] == [0.0, 1.0]
