@@ -36,6 +36,7 @@ MODULES = (
     "quillmill.operators.nearest",
     "quillmill.operators.answers",
     "quillmill.operators.directory",
+    "quillmill.operators.scrub",
     "quillmill.operators.text_quality",
     "quillmill.operators.documents",
     "quillmill.operators.sections",
