@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,18 +32,16 @@ def vector_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     query.  Vectors are dealt to SPREAD parts, and each block goes to every part.
     """
     v = unit_vectors(spark, sf_dir)
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("n").alias("qn"), F.expr(f"vec_id div {20 * QUERY_BLOCK}").alias("block"))
-    blocks = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv", "qn")).alias("queries"))  # QUERY_BLOCK queries at most
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"), F.col("n").alias("qn"))
+    n_blocks = max(1, math.ceil(q.count() / QUERY_BLOCK))  # numbers without gaps, whatever the ids are
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
+    blocks = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "qv", "qn")).alias("queries"))  # about QUERY_BLOCK queries
     blocks = blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    dealt = v.withColumn("block", F.explode(_blocks(q))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(SPREAD)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    dealt = v.withColumn("block", every).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(SPREAD)).cast("int"))
     return dealt.join(blocks, ["block", "part"]).select("vec_id", "label", "v", "n", F.explode("queries").alias("q")).filter("vec_id <> q.query_id")
 
 
-def _blocks(q: DataFrame):
-    most = q.agg(F.max("block")).first()[0]
-    return F.sequence(F.lit(0).cast("long"), F.lit(most if most is not None else 0).cast("long"))
-
-
 @register(
     "vector_topk",
     f"""WITH {_UNIT} SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (
@@ -300,11 +300,26 @@ o AS (SELECT *, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 1.0 ELS
   round(avg(CASE WHEN top_a = top_b THEN 1.0 ELSE 0.0 END), 6) AS match_rate, round(quantile_cont(duration_ms, 0.95), 4) AS p95_ms FROM o""",
 )
 def shadow_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = shadow_totals(spark, sf_dir, 0.95)
+    return t.select("n", F.round("overlap", 6).alias("avg_overlap"), "vnext_wins", F.round("same", 6).alias("match_rate"), F.round("p95", 4).alias("p95_ms"))
+
+
+def shadow_totals(spark: SparkSession, sf_dir: str, *percents: float) -> DataFrame:
+    """Totals and percentiles of durations in one pass: sums by duration first, so that only different durations meet, in order, in the last step."""
     s = shadow(spark, sf_dir).withColumn("overlap", jaccard(F.col("a"), F.col("b"), 1.0))
-    return s.agg(
-        F.count("*").alias("n"), F.round(F.avg("overlap"), 6).alias("avg_overlap"), F.count_if(F.round("vnext_confidence", 9) > F.round("primary_confidence", 9)).alias("vnext_wins"),
-        F.round(F.avg((F.col("top_a") == F.col("top_b")).cast("double")), 6).alias("match_rate"), F.round(F.percentile("duration_ms", 0.95), 4).alias("p95_ms"),
-    )
+    wins = F.count_if(F.round("vnext_confidence", 9) > F.round("primary_confidence", 9))
+    by_value = s.groupBy("duration_ms").agg(F.count("*").alias("k"), F.sum("overlap").alias("o"), wins.alias("wins"), F.count_if(F.col("top_a") == F.col("top_b")).alias("same"))
+    known = F.when(F.col("duration_ms").isNotNull(), F.col("k")).otherwise(0)
+    placed = by_value.withColumn("upto", F.sum(known).over(Window.orderBy("duration_ms"))).withColumn("m", F.sum(known).over(Window.partitionBy()))
+
+    def percentile(p: float):
+        at = F.lit(p) * (F.col("m") - 1)
+        value = lambda rank: F.min(F.when(F.col("upto") > rank, F.col("duration_ms")))
+        low, part = value(F.floor(at)), F.first(at - F.floor(at))
+        return low + part * (value(F.ceil(at)) - low)
+
+    n = F.sum("k")
+    return placed.agg(F.coalesce(n, F.lit(0)).alias("n"), (F.sum("o") / n).alias("overlap"), F.coalesce(F.sum("wins"), F.lit(0)).alias("vnext_wins"), (F.sum("same") / n).alias("same"), *(percentile(p).alias(f"p{round(100 * p)}") for p in percents))
 
 
 @register(
@@ -330,8 +345,7 @@ SELECT n, round(same_rate, 6) AS same_rate, round(overlap, 6) AS overlap, round(
 )
 def comparison_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The promotion gate: what keeps the new list from replacing the old one."""
-    s = shadow(spark, sf_dir).withColumn("overlap", jaccard(F.col("a"), F.col("b"), 1.0))
-    r = s.agg(F.count("*").alias("n"), F.avg((F.col("top_a") == F.col("top_b")).cast("double")).alias("same"), F.avg("overlap").alias("o"), F.percentile("duration_ms", 0.5).alias("p50"), F.percentile("duration_ms", 0.95).alias("p95"))
+    r = shadow_totals(spark, sf_dir, 0.5, 0.95).withColumnRenamed("overlap", "o")
     c = F.col
     reasons = F.array_compact(F.array(F.when(c("n") == 0, "no_samples"), F.when(c("same") < 0.85, "same_section_rate"), F.when(c("o") < 0.7, "evidence_overlap"), F.when(c("p95") > 150, "latency")))
     return r.select("n", F.round("same", 6).alias("same_rate"), F.round("o", 6).alias("overlap"), F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), reasons.alias("reasons"))

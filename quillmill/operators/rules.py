@@ -139,10 +139,12 @@ def semantic_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillmill.operators.retrieval import vector_pairs
 
     s = dot(F.col("v"), F.col("q.qv")) / (F.col("n") * F.col("q.qn"))
-    p = vector_pairs(spark, sf_dir).select(F.col("q.query_id").alias("query_id"), F.struct((-F.round(s, 9)).alias("o"), F.col("vec_id").alias("id"), "label", s.alias("s")).alias("x"))
-    # the two best by two aggregates that combine before the shuffle
-    best = p.groupBy("query_id").agg(F.min("x").alias("a"))
-    second = p.join(best, "query_id").filter("x.id <> a.id").groupBy("query_id").agg(F.min("x").alias("b"), F.first("a").alias("a"))
+    p = vector_pairs(spark, sf_dir).select(F.col("q.query_id").alias("query_id"), "vec_id", "label", s.alias("s"))
+    # the scores are made once; Spark cuts each task's rows to the two best before it shuffles them
+    order = Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), F.asc("vec_id"))
+    two = p.withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    one = F.struct(F.col("vec_id").alias("id"), "label", "s")
+    second = two.groupBy("query_id").agg(F.min_by(one, "r").alias("a"), F.max_by(one, "r").alias("b"), F.count("*").alias("k")).filter("k = 2")
     margin = F.col("a.s") - F.col("b.s")
     return second.select("query_id", F.col("a.id").alias("vec_id"), F.round(margin, 6).alias("margin"), (~((F.col("a.label") != F.col("b.label")) & (margin < 0.02))).alias("hit"))
 
