@@ -37,6 +37,7 @@ MODULES = (
     "quillmill.operators.answers",
     "quillmill.operators.directory",
     "quillmill.operators.scrub",
+    "quillmill.operators.evaluation",
     "quillmill.operators.text_quality",
     "quillmill.operators.documents",
     "quillmill.operators.sections",
