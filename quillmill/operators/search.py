@@ -32,11 +32,15 @@ def analysed(text: Column) -> Column:
 
 
 def field_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``doc_id``, ``field`` and its ``words``; fields without a word have no row."""
+    """``doc_id``, ``field`` and its ``words``; fields without a word have no row.
+
+    The search text is the others with spaces between them, so its words are theirs: a text is taken apart once.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.col("doc_id").cast("string")).alias("section_id"), F.coalesce("text", F.lit("")).alias("content"))
-    title = F.regexp_extract("content", r"^[^.\n]*", 0)
-    d = d.withColumn("section_title", title).withColumn("search_text", F.concat_ws(" ", "section_id", "section_title", "content"))
-    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), analysed(F.col(f)).alias("words")) for f in FIELD_BOOST)))
+    d = d.withColumn("section_title", F.regexp_extract("content", r"^[^.\n]*", 0))
+    alone = [f for f in FIELD_BOOST if f != "search_text"]
+    d = d.select("doc_id", *(analysed(F.col(f)).alias(f) for f in alone)).withColumn("search_text", F.concat(*(alone)))
+    fields = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in FIELD_BOOST)))
     return d.select("doc_id", fields.alias("f")).select("doc_id", "f.field", "f.words").filter(F.size("words") > 0)
 
 
@@ -44,11 +48,39 @@ def question_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", analysed(F.col("text")).alias("asked"))
 
 
+def counted_words(words: Column) -> Column:
+    """Each different word of an array with its ``places`` (from 0, in order): runs of the sorted places, found inside the row."""
+    # a value that a lambda uses for each element is bound as a lambda's own variable first: otherwise it would be made again for each
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    placed = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("place"))))
+
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["term"] != F.get(s, i - 1)["term"]))
+        return bound(begins, lambda starts: F.transform(starts, lambda b, k: one(s, b, F.coalesce(F.get(starts, k + 1), F.size(s)))))
+
+    def one(s: Column, begin: Column, end: Column) -> Column:
+        return F.struct(F.get(s, begin)["term"].alias("term"), F.transform(F.slice(s, begin + 1, end - begin), lambda x: x["place"]).alias("places"))
+
+    none = F.array().cast("array<struct<term:string,places:array<int>>>")
+    return F.when(F.size(words) > 0, bound(placed, runs)).otherwise(none)
+
+
+def placed_postings(words: DataFrame) -> DataFrame:
+    """``doc_id``, ``field``, ``length`` (of the field), ``term`` and its ``places``; nothing is shuffled."""
+    return words.select("doc_id", "field", F.size("words").alias("length"), F.explode(counted_words(F.col("words"))).alias("p")).select("doc_id", "field", "length", "p.term", "p.places")
+
+
 def postings(words: DataFrame) -> DataFrame:
     """``doc_id``, ``field``, ``length`` (of the field), ``term`` and ``tf``; a row's words are added up where they were read."""
     return words.select("doc_id", "field", F.size("words").alias("length"), F.explode("words").alias("term")).groupBy("doc_id", "field", "length", "term").agg(F.count("*").alias("tf"))
 
 
+def dictionary(words: DataFrame) -> DataFrame:
+    """``term`` and ``dfs``: how many rows of each field hold it, in the order of ``FIELD_BOOST``; counts are added up before the shuffle."""
+    each = words.select("field", F.explode(F.array_distinct("words")).alias("term"))
+    return each.groupBy("term").agg(F.array(*(F.count_if(F.col("field") == f) for f in FIELD_BOOST)).alias("dfs"))
+
+
 def allowed_edits(term: Column) -> Column:
     """How many edits a term of this length may have: none up to two letters, one up to five, else two."""
     n = F.length(term)
@@ -79,34 +111,37 @@ def _swapped(word: Column) -> Column:
 def edits(a: Column, b: Column, near: Column) -> Column:
     """Edits between two different words of two letters and more where they are two at most (swapped neighbours are one), else null.
 
-    ``near`` is their distance without swaps, up to four (a swap is two edits there): it leaves
-    few pairs of which swapped forms have to be made.
+    ``near`` is their distance without swaps, up to four (a swap is two edits there).  Swapped forms are made of
+    few pairs: a swap and another edit leave each word one letter at most that the other lacks, two swaps none.
     """
+    rest = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))  # noqa: E731  letters of x that y lacks
     one_more = F.exists(_swapped(a), lambda x: F.levenshtein(x, b, 1) >= 0) | F.exists(_swapped(b), lambda x: F.levenshtein(a, x, 1) >= 0)
     even = F.length(a) == F.length(b)
     return (
         F.when(near.between(0, 1), near)
         .when(near == 2, F.when(even & F.array_contains(_swapped(a), b), 1).otherwise(2))
-        .when((near == 3) & one_more | even & F.arrays_overlap(_swapped(a), _swapped(b)), 2)
+        .when((near == 3) & (rest(a, b) <= 1) & (rest(b, a) <= 1) & one_more, 2)
+        .when((near >= 3) & even & (rest(a, b) == 0) & (rest(b, a) == 0) & F.arrays_overlap(_swapped(a), _swapped(b)), 2)
     )
 
 
 def expansions(asked: DataFrame, known: DataFrame) -> DataFrame:
-    """``asked``, ``term`` and ``distance``: the ``known`` terms that an asked one may stand for.
+    """``asked``, ``term`` and ``distance``: the ``known`` terms that an asked one may stand for, with the further columns of ``known``.
 
-    Equal terms join directly; others meet through shared deletions and are compared exactly.
+    Terms meet through shared deletions (equal ones through their beginnings, too) and are compared exactly.
+    ``known`` is read once: its columns come along, so that no second pass over the texts has to find them again.
     """
-    a, k = asked.select(F.col("term").alias("asked")).distinct(), known.select("term").distinct()
-    equal = a.join(k, F.col("asked") == F.col("term")).select("asked", "term", F.lit(0).alias("distance"))
+    a = asked.select(F.col("term").alias("asked")).distinct()
     may = allowed_edits(F.col("asked"))
-    ours = a.filter(may > 0).select("asked", F.explode(variants(F.col("asked"))).alias("variant"))
-    theirs = k.filter(F.length("term") >= 2).select("term", F.explode(variants(F.col("term"))).alias("variant"))
-    met = ours.join(theirs, "variant").filter((F.abs(F.length("asked") - F.length("term")) <= may) & (F.col("asked") != F.col("term"))).select("asked", "term").distinct()
+    ours = a.select("asked", F.explode(F.when(may > 0, variants(F.col("asked"))).otherwise(F.array(F.col("asked")))).alias("variant"))
+    theirs = known.select("*", F.explode(variants(F.col("term"))).alias("variant"))
     a, b = F.col("asked"), F.col("term")
-    rest = lambda x, y: F.length(F.call_function("translate", x, y, F.lit("")))  # noqa: E731  letters of x that y lacks
-    strange = F.greatest(rest(a, b), rest(b, a))
-    near = met.filter(strange <= may).withColumn("near", F.levenshtein(a, b, 2 * EDITS)).filter((F.col("near") >= 0) & (F.col("near") <= 2 * may))
-    return equal.unionByName(near.select("asked", "term", edits(a, b, F.col("near")).alias("distance")).filter(F.col("distance") <= may))
+    # the distance is asked for once a pair, with the least threshold that still tells: a swap is two edits there
+    near = F.when(a == b, 0).when(may == 1, F.levenshtein(a, b, 2)).when(may == EDITS, F.levenshtein(a, b, 2 * EDITS)).otherwise(-1)
+    met = ours.join(theirs, "variant").filter(F.abs(F.length(a) - F.length(b)) <= may).filter(near >= 0)
+    met = met.drop("variant").dropDuplicates(["asked", "term"]).withColumn("near", near)
+    distance = F.when(F.col("near") == 0, 0).otherwise(edits(a, b, F.col("near")))
+    return met.select("asked", *known.columns, distance.alias("distance")).filter(F.col("distance") <= may)
 
 
 def _idf(n: Column, df: Column) -> Column:
@@ -117,11 +152,15 @@ def _saturated(tf: Column, length: Column, mean: Column) -> Column:
     return tf / (tf + K1 * (1 - B + B * length / mean))
 
 
-def phrase_places(words: Column, asked: Column) -> Column:
-    """Where all words of ``asked`` stand one after the other: starts whose first word fits, then the whole."""
-    m = F.size(asked)
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - m + 1, F.lit(1)))
-    return F.filter(starts, lambda i: (F.element_at(words, i) == F.element_at(asked, 1)) & (F.slice(words, i, m) == asked))
+def phrase_starts(places: Column, asked_at: Column) -> Column:
+    """Where a phrase would begin if each of these ``places`` held the word that it has ``asked_at``."""
+    return F.flatten(F.transform(asked_at, lambda a: F.transform(places, lambda p: p - a)))
+
+
+def phrase_count(starts: Column, words: Column) -> Column:
+    """How many of the ``starts`` of a phrase's words have all of its ``words``: none is met twice for one word, so they come as often as that."""
+    s = F.sort_array(starts)
+    return F.aggregate(F.array(s), F.lit(0), lambda _, x: F.size(F.filter(x, lambda v, i: v == F.get(x, i + words - 1))))
 
 
 _EXPR = {
@@ -173,37 +212,39 @@ def multi_field_search(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFra
 
     Terms stand for others within the allowed edits: such a match counts less by its
     edits over the shorter length, and all that a term stands for share the largest document count.
-    Only sections that hold every word of a question are looked at for its phrase.
+    A phrase is found by the differences of its words' places, which come with the postings of the words
+    themselves, so that no text is looked at again.  A row of ``documents`` is a section; its postings are made inside
+    the row and meet the terms first, and what is left moves once, to the task of its question and section.
     """
     words = field_words(spark, sf_dir)
-    found = postings(words)
     sizes = words.groupBy("field").agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"))  # one row a field
-    known = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     questions = question_words(spark, sf_dir)
-    q = questions.select("item_id", F.explode("asked").alias("asked")).groupBy("item_id", "asked").agg(F.count("*").alias("times"))
-    stands_for = expansions(q.select(F.col("asked").alias("term")), known)
+    asked_at = questions.select("item_id", F.size("asked").alias("asked_words"), F.size(F.array_distinct("asked")).alias("wanted"), F.posexplode("asked").alias("at", "asked"))
+    q = asked_at.groupBy("item_id", "asked", "asked_words", "wanted").agg(F.collect_list("at").alias("asked_at"))
 
-    of_field = stands_for.join(known, "term")
-    most = of_field.groupBy("field", "asked").agg(F.max("df").alias("most"))
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), F.col("dfs")[i].alias("df")) for i, f in enumerate(FIELD_BOOST)))
+    of_field = expansions(asked_at.select(F.col("asked").alias("term")), dictionary(words)).select("asked", "term", "distance", F.explode(fields).alias("f"))
+    of_field = of_field.select("asked", "term", "distance", "f.field", "f.df").filter("df > 0")
+    most = F.max("df").over(Window.partitionBy("field", "asked"))  # over the words that one may stand for
     part = 1 - F.col("distance") / F.least(F.length("asked"), F.length("term"))
-    weights = of_field.join(most, ["field", "asked"]).join(F.broadcast(sizes), "field").select("field", "asked", "term", "mean", (_idf(F.col("n"), F.col("most")) * part).alias("w"))
+    itself = F.when(F.col("distance") == 0, _idf(F.col("n"), F.col("df")))
+    weights = of_field.withColumn("most", most).join(F.broadcast(sizes), "field").select("field", "asked", "term", "mean", (_idf(F.col("n"), F.col("most")) * part).alias("w"), itself.alias("idf"))
+
     # postings meet each expansion once, and questions only the terms that stand for theirs
-    hits = found.join(weights, ["field", "term"]).select("doc_id", "field", "asked", (F.col("w") * _saturated(F.col("tf"), F.col("length"), F.col("mean"))).alias("s"))
-    boost = reduce(lambda c, f: c.when(F.col("field") == f[0], f[1]), FIELD_BOOST.items(), F.when(F.lit(False), 0.0))
-    by_field = hits.join(q, "asked").groupBy("item_id", "doc_id", "field").agg(F.sum(F.col("times") * F.col("s")).alias("s"))
-    best = by_field.groupBy("item_id", "doc_id").agg(F.max(F.col("s") * boost).alias("s"))
-
-    exact = found.filter(F.col("field").isin(*PHRASE_BOOST)).join(q, F.col("term") == F.col("asked"))
-    whole = exact.groupBy("item_id", "doc_id", "field").agg(F.count("*").alias("there"))
-    wanted = q.groupBy("item_id").agg(F.count("*").alias("wanted"))
-    may_hold = whole.join(wanted, "item_id").filter("there = wanted").select("item_id", "doc_id", "field")
-    idf = q.join(known, F.col("asked") == F.col("term")).join(F.broadcast(sizes), "field").groupBy("item_id", "field").agg(F.sum(F.col("times") * _idf(F.col("n"), F.col("df"))).alias("w"), F.max("mean").alias("mean"))
-    held = may_hold.join(questions, "item_id").join(words, ["doc_id", "field"])
-    held = held.withColumn("tf", F.size(phrase_places(F.col("words"), F.col("asked")))).filter("tf > 0").select("item_id", "doc_id", "field", "tf", F.size("words").alias("length"))
-    phrase_boost = reduce(lambda c, f: c.when(F.col("field") == f[0], f[1]), PHRASE_BOOST.items(), F.when(F.lit(False), 0.0))
-    phrases = held.join(idf, ["item_id", "field"]).groupBy("item_id", "doc_id").agg(F.sum(phrase_boost * F.col("w") * _saturated(F.col("tf"), F.col("length"), F.col("mean"))).alias("p"))
-
-    scores = best.join(phrases, ["item_id", "doc_id"], "left").select("item_id", "doc_id", (F.col("s") + F.coalesce("p", F.lit(0.0))).alias("score"), F.col("p").isNotNull().alias("phrase"))
+    phrased = F.col("idf").isNotNull() & F.col("field").isin(*PHRASE_BOOST)
+    hits = placed_postings(words).join(weights, ["field", "term"]).select(
+        "doc_id", "field", "length", "mean", "asked", "idf", (F.col("w") * _saturated(F.size("places"), F.col("length"), F.col("mean"))).alias("s"), F.when(phrased, F.col("places")).alias("places")
+    )
+    pairs = hits.join(q, "asked").withColumn("times", F.size("asked_at")).withColumn("starts", F.when(F.col("places").isNotNull(), phrase_starts(F.col("places"), F.col("asked_at"))))
+    by_field = pairs.repartition("item_id", "doc_id").groupBy("item_id", "doc_id", "field").agg(
+        F.sum(F.col("times") * F.col("s")).alias("s"), F.sum(F.col("times") * F.col("idf")).alias("idf"), F.max("length").alias("length"), F.max("mean").alias("mean"),
+        F.when(F.count("starts") == F.max("wanted"), phrase_count(F.flatten(F.collect_list("starts")), F.max("asked_words"))).alias("tf"),  # only where all words are
+    )
+    boosts = lambda of: reduce(lambda c, f: c.when(F.col("field") == f[0], f[1]), of.items(), F.when(F.lit(False), 0.0))
+    phrase = boosts(PHRASE_BOOST) * F.col("idf") * _saturated(F.col("tf"), F.col("length"), F.col("mean"))
+    best = by_field.groupBy("item_id", "doc_id").agg(F.max(F.col("s") * boosts(FIELD_BOOST)).alias("s"), F.sum(F.when(F.col("tf") > 0, phrase)).alias("p"))
+
+    scores = best.select("item_id", "doc_id", (F.col("s") + F.coalesce("p", F.lit(0.0))).alias("score"), F.col("p").isNotNull().alias("phrase"))
     order = Window.partitionBy("item_id").orderBy(F.round("score", 6).desc(), F.asc("doc_id"))
     return scores.withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= k).select("item_id", "doc_id", F.round("score", 4).alias("score"), "phrase", "rank")
 

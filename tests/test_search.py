@@ -40,9 +40,31 @@ def test_expansions_are_all_terms_within_the_allowed_edits(spark):
     assert {tuple(x) for x in search.expansions(make(asked), make(words)).collect()} == want
 
 
-def test_phrase_places(spark):
-    df = spark.createDataFrame([(list("abcabcab"), list("ab")), (list("aaaa"), list("aa")), (["a"], ["a", "b"]), (["b"], ["b"])], "w array<string>, a array<string>")
-    assert [r[0] for r in df.select(search.phrase_places(F.col("w"), F.col("a"))).collect()] == [[1, 4, 7], [1, 2, 3], [], [1]]
+def test_phrases_by_places_equal_a_look_at_every_window(spark):
+    r = random.Random(6)
+    cases = [([r.choice("abc") for _ in range(r.randint(0, 14))], [r.choice("abc") for _ in range(r.randint(1, 4))]) for _ in range(120)] + [(list("aaaa"), list("aa")), ([], ["a"])]
+    want = {n: sum(w[i : i + len(a)] == a for i in range(len(w) - len(a) + 1)) for n, (w, a) in enumerate(cases)}
+    df = spark.createDataFrame([(n, w, a) for n, (w, a) in enumerate(cases)], "n int, w array<string>, a array<string>")
+    held = df.select("n", "a", F.explode_outer(search.counted_words(F.col("w"))).alias("p")).select("n", "a", "p.term", "p.places")
+    at = F.filter(F.transform("a", lambda x, i: F.when(x == F.col("term"), i)), lambda i: i.isNotNull())
+    starts = held.withColumn("starts", search.phrase_starts(F.coalesce("places", F.array().cast("array<int>")), at)).groupBy("n").agg(F.flatten(F.collect_list("starts")).alias("s"), F.max(F.size("a")).alias("m"))
+    assert {x["n"]: x["c"] for x in starts.select("n", search.phrase_count(F.col("s"), F.col("m")).alias("c")).collect()} == want
+
+
+def test_counted_words_are_the_places_of_each(spark):
+    words = [list("banana"), ["x"], [], ["b", "a", "b"]]
+    got = spark.createDataFrame([(n, w) for n, w in enumerate(words)], "n int, w array<string>").select("n", search.counted_words(F.col("w")).alias("c")).collect()
+    for row in got:
+        w = words[row["n"]]
+        assert [(c["term"], c["places"]) for c in row["c"]] == [(t, [i for i, x in enumerate(w) if x == t]) for t in sorted(set(w))]
+
+
+def test_dictionary_counts_rows_by_field(spark):
+    rows = [(1, "content", ["a", "b", "a"]), (1, "section_title", ["a"]), (2, "content", ["a"]), (2, "search_text", ["c"])]
+    got = search.dictionary(spark.createDataFrame(rows, "doc_id long, field string, words array<string>")).collect()
+    assert {r["term"]: dict(zip(search.FIELD_BOOST, r["dfs"], strict=True)) for r in got} == {
+        "a": {"section_id": 0, "section_title": 1, "content": 2, "search_text": 0}, "b": {"section_id": 0, "section_title": 0, "content": 1, "search_text": 0}, "c": {"section_id": 0, "section_title": 0, "content": 0, "search_text": 1}
+    }
 
 
 def test_covers_equal_all_windows_without_a_smaller_one(spark):
