@@ -8,6 +8,24 @@ from pyspark.sql import functions as F
 from quillmill.functions.text import edit_distance, osa_distance
 from quillmill.sources.views import table
 
+#: Marks of three bytes that were read one byte a letter, and what stands for them; letters that tell of such a reading.
+MISREAD = {"â€™": "'", "â€œ": '"', "â€\ufffd": '"', "â€“": "-", "â€”": "-"}
+MISREAD_SIGNS = "[âÃÂ]"
+
+
+def repaired_encoding(text: Column) -> Column:
+    """A text whose UTF-8 bytes were read as one letter each, read again; any other text stays as it is.
+
+    Known marks are replaced first.  What is left is read again as a whole where it has a sign of such a reading, all its
+    letters are single bytes, and the bytes are valid UTF-8; null stays null.
+    """
+    for wrong, right in MISREAD.items():
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    single = text.rlike(MISREAD_SIGNS) & text.rlike(r"\A[\x{00}-\x{FF}]*\z")
+    # letters beyond one byte are left out of what is encoded, since Spark may evaluate it where the condition is false
+    data = F.encode(F.regexp_replace(text, r"[^\x{00}-\x{FF}]", ""), "ISO-8859-1")
+    return F.when(single, F.coalesce(F.try_validate_utf8(data.cast("string")), text)).otherwise(text)
+
 
 def deletions(word: Column) -> Column:
     """The word and all of it but one letter: words within one edit or swap share one of these."""

@@ -7,6 +7,7 @@ import html
 import io
 import re
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 
 SECTION = "source_file string, country string, language string, section_id string, title string, content string"
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
+#: What a broken archive, workbook or table raises.
+BROKEN = (zipfile.BadZipFile, zlib.error, ElementTree.ParseError, csv.Error, KeyError, IndexError, ValueError, EOFError, NotImplementedError, RuntimeError)
 
 
 def read_sections(spark: SparkSession, path: str, schema: str = SECTION) -> DataFrame:
@@ -75,21 +78,33 @@ def resolved_header(header: list[str], aliases: dict[str, tuple[str, ...]]) -> d
     return {name: next((found[plain(a)] for a in (name, *other) if plain(a) in found), -1) for name, other in aliases.items()}
 
 
+def csv_rows(data: bytes) -> list[list[str]]:
+    """Records of a table of text, by the first of ``ENCODINGS`` that reads it; blank lines are left out."""
+    return [r for r in csv.reader(io.StringIO(_decoded(data), newline="")) if r]
+
+
 def read_plans(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]], header_row: int = 0) -> DataFrame:
-    """Rows of test plans (workbooks), with the columns that ``aliases`` names; absent ones are empty."""
+    """Rows of test plans (workbooks and CSV files), with the columns that ``aliases`` names; absent ones are empty.
+
+    A file that can't be read has one row of nulls with its ``error``; the others' is null.
+    """
     names = list(aliases)
 
     def read(batches):
         for b in batches:
             rows = []
             for p, data in zip(b["path"], b["content"], strict=True):
-                cells = xlsx_rows(data)
+                try:
+                    cells = xlsx_rows(data) if p.lower().endswith(".xlsx") else csv_rows(data)
+                except BROKEN as e:
+                    rows.append((p, *[None] * len(names), f"{type(e).__name__}: {e}"))
+                    continue
                 at = resolved_header(cells[header_row], aliases) if len(cells) > header_row else {}
-                rows += [(p, *[r[at[n]] if 0 <= at[n] < len(r) else "" for n in names]) for r in cells[header_row + 1 :]]
-            yield pd.DataFrame(rows, columns=["path", *names])
+                rows += [(p, *[r[at[n]] if 0 <= at[n] < len(r) else "" for n in names], None) for r in cells[header_row + 1 :]]
+            yield pd.DataFrame(rows, columns=["path", *names, "error"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
-    return files.select("path", "content").mapInPandas(read, "path string, " + ", ".join(f"`{n}` string" for n in names))
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,csv}").load(path)
+    return files.select("path", "content").mapInPandas(read, "path string, " + ", ".join(f"`{n}` string" for n in names) + ", error string")
 
 
 def recognised_pages(blocks: DataFrame) -> DataFrame:
@@ -109,24 +124,30 @@ def kind_of(path: str, data: bytes) -> str:
     return path.rsplit(".", 1)[-1].lower() if "." in path else "txt"
 
 
+def text_of(kind: str, data: bytes) -> str | None:
+    """The text of a file of this kind; None where the kind has no reader."""
+    if kind == "docx":
+        return docx_text(data)
+    if kind in ("html", "htm"):
+        return html.unescape(re.sub(r"<[^>]*>", " ", _decoded(data)))
+    if kind == "csv":
+        return "\n".join(" | ".join(r) for r in csv_rows(data))
+    return _decoded(data) if kind in ("txt", "md", "json") else None
+
+
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """path, kind and text of files; what has no text reader gets a null text."""
+    """path, kind, text and error of files; what has no text reader gets a null text, and a broken file its error instead of an end of the job."""
 
     def read(batches):
         for b in batches:
             rows = []
             for p, data in zip(b["path"], b["content"], strict=True):
-                kind, text = kind_of(p, data), None
-                if kind == "docx":
-                    text = docx_text(data)
-                elif kind in ("html", "htm"):
-                    text = html.unescape(re.sub(r"<[^>]*>", " ", _decoded(data)))
-                elif kind == "csv":
-                    text = "\n".join(" | ".join(r) for r in csv.reader(io.StringIO(_decoded(data), newline="")) if r)
-                elif kind in ("txt", "md", "json"):
-                    text = _decoded(data)
-                rows.append((p, kind, text))
-            yield pd.DataFrame(rows, columns=["path", "kind", "text"])
+                kind = kind_of(p, data)
+                try:
+                    rows.append((p, kind, text_of(kind, data), None))
+                except BROKEN as e:
+                    rows.append((p, kind, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "kind", "text", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(read, "path string, kind string, text string")
+    return files.select("path", "content").mapInPandas(read, "path string, kind string, text string, error string")
