@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions import chunking as C
@@ -116,16 +116,28 @@ def context_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.array_join(F.transform("s", lambda x: x["line"]), "\n\n").alias("context"))
 
 
-@register("preflight_profile")
-def preflight_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text pages, tables and active content of the raw pages."""
+#: White space of any script, for Java's and DuckDB's engines alike, and a line that holds several columns.
+_SPACE = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_COLUMNS = rf"[^{_SPACE}](?:[{_SPACE}]*\||\t|\x20{{3,}})[{_SPACE}]*[^{_SPACE}][^\n]*(?:\||\t|\x20{{3,}})"
+
+
+def table_like(text: Column) -> Column:
+    """At least three rows and an eighth of the lines hold several columns; null is an empty text."""
+    lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: x.rlike(f"[^{_SPACE}]"))
+    counted = F.aggregate(lines, F.struct(F.lit(0).alias("lines"), F.lit(0).alias("rows")), lambda s, x: F.struct((s["lines"] + 1).alias("lines"), (s["rows"] + x.rlike(_COLUMNS).cast("int")).alias("rows")))
+    return F.element_at(F.transform(F.array(counted), lambda s: (s["rows"] >= 3) & (100 * s["rows"] >= 12 * s["lines"])), 1)
 
-    def look(batches):
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "table_like": [C.table_like(x or "") for x in b["text"]], "visible": [sum(not c.isspace() for c in x or "") for x in b["text"]]})
 
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(look, "doc_id long, table_like boolean, visible long")
-    return d.select("doc_id", "table_like", (F.col("visible") >= 40).alias("text_page"))
+@register(
+    "preflight_profile",
+    rf"""WITH l AS (SELECT doc_id, text, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS lines FROM documents),
+r AS (SELECT *, len(list_filter(lines, lambda x: regexp_matches(x, '{_COLUMNS}'))) AS rows FROM l)
+SELECT doc_id, rows >= 3 AND 100 * rows >= 12 * len(lines) AS table_like, length(regexp_replace(coalesce(text, ''), '[{_SPACE}]', '', 'g')) >= 40 AS text_page FROM r""",
+)
+def preflight_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which whole texts hold enough letters to need no recognition of images, and which look like tables."""
+    visible = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{_SPACE}]"))
+    return table(spark, sf_dir, "documents").select("doc_id", table_like(F.col("text")).alias("table_like"), (visible >= 40).alias("text_page"))
 
 
 @register(

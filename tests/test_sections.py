@@ -2,10 +2,12 @@
 
 import collections
 import random
+import re
 
 import pytest
 
 from quillmill.functions import sectioning
+from quillmill.operators.documents import preflight_profile
 from quillmill.operators.sections import document_sections, section_profiles, section_rows
 from quillmill.sources.views import table
 
@@ -91,3 +93,18 @@ def test_tables_are_cut_whole(spark, small):
     assert section_rows(spark.createDataFrame([(1, None), (2, " \n")], "doc_id long, text string")).count() == 0
     with pytest.raises(ValueError, match="unknown profile"):
         section_rows(docs, "none")
+
+
+def test_preflight_equals_a_plain_look_at_each_line(spark, tmp_path):
+    def plain(text):
+        lines = [x for x in text.split("\n") if x.strip()]
+        rows = sum(bool(re.search(r"\S(?:\s*\||\t| {3,})\s*\S.*(?:\||\t| {3,})", x)) for x in lines)
+        return rows >= 3 and rows >= 0.12 * len(lines), sum(not c.isspace() for c in text) >= 40
+
+    r = random.Random(9)
+    pieces = ["a", "b|", "|", "\t", "   ", " ", "\n", "é", "　", "\xa0", "日本", "x | y | z\n", "k\tv\tw\n"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 60))) for _ in range(300)] + [None, "", "a | b | c\n" * 3, "a | b | c\n" * 3 + "x\n" * 22, "a | b | c\n" * 3 + "x\n" * 23, "x" * 39, "x" * 40]
+    rows = [(n, t) for n, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {x["doc_id"]: (x["table_like"], x["text_page"]) for x in preflight_profile(spark, str(tmp_path)).collect()}
+    assert got == {n: plain(t or "") for n, t in rows}
