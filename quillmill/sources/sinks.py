@@ -73,10 +73,16 @@ def checked_rows(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
 def publish_generation(rows: DataFrame, root: str, generation: str, expected: int) -> DataFrame:
     """Write a generation beside the others, count it, and only then let the pointer name it.
 
-    A wrong count leaves the pointer as it was.  Returns the rows of the active generation.
+    A wrong count leaves the pointer as it was.  A generation that a pointer has named is never written again, since
+    readers may hold it.  A pointer's number is a folder that must not exist yet: a writer that finds it taken
+    claims the next one, and should two writers make one at the same moment, the later name counts.
+    Returns the rows of the active generation.
     """
     spark = rows.sparkSession
     path = f"{root}/generation={generation}"
+    known = _pointers(spark, root)
+    if known is not None and not known.filter(F.col("generation") == generation).isEmpty():
+        raise ValueError(f"generation {generation} was published before")
     rows.write.mode("overwrite").parquet(path)
     found = spark.read.parquet(path).count()
     if found != expected:
@@ -84,8 +90,15 @@ def publish_generation(rows: DataFrame, root: str, generation: str, expected: in
     # pointers are only ever added, and a write that breaks off is never seen, so some generation is active at all times
     newest = _pointers(spark, root)
     number = (newest.agg(F.max("number")).first()[0] or 0) + 1 if newest is not None else 1
-    pointer = spark.range(1).select(F.lit(number).cast("long").alias("number"), F.lit(generation).alias("generation"), F.lit(found).cast("long").alias("n"))
-    pointer.coalesce(1).write.mode("append").json(f"{root}/pointer")
+    pointer = spark.range(1).select(F.lit(generation).alias("generation"), F.lit(found).cast("long").alias("n")).coalesce(1)
+    while True:
+        try:
+            pointer.write.mode("errorifexists").json(f"{root}/pointer/number={number}")
+            break
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_ALREADY_EXISTS":
+                raise
+            number += 1
     return active_generation(spark, root)
 
 
@@ -101,7 +114,7 @@ def _pointers(spark: SparkSession, root: str) -> DataFrame | None:
 
 def active_generation(spark: SparkSession, root: str) -> DataFrame:
     """Rows of the generation that the newest pointer names."""
-    name = _pointers(spark, root).orderBy(F.desc("number")).first()["generation"]
+    name = _pointers(spark, root).orderBy(F.desc("number"), F.desc("generation")).first()["generation"]
     return spark.read.parquet(f"{root}/generation={name}")
 
 

@@ -3,10 +3,11 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quillmill.functions.repair import repaired_encoding
-from quillmill.sources import files, inspection
+from quillmill.sources import files, inspection, sinks
 
 PARTS = {"[Content_Types].xml": "<t/>", "word/document.xml": "<d/>"}
 
@@ -65,3 +66,17 @@ def test_texts_read_in_the_wrong_encoding(spark):
     cases += [("itâ€™s â€œsoâ€�", 'it\'s "so"'), ("â€™ " + misread("é"), "' é"), ("", ""), (None, None), ("\U0001f389 Ã©", "\U0001f389 Ã©")]
     df = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "n int, t string").repartition(3)
     assert {r["n"]: r["x"] for r in df.select("n", repaired_encoding(F.col("t")).alias("x")).collect()} == {n: want for n, (_, want) in enumerate(cases)}
+
+
+def test_a_taken_pointer_number_is_passed_over(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "gen")
+    make = lambda n: spark.range(n).withColumnRenamed("id", "k")
+    sinks.publish_generation(make(1), root, "b", 1)
+    seen = sinks._pointers
+    stale = iter([None, None])  # another writer has published since this one looked
+    monkeypatch.setattr(sinks, "_pointers", lambda *a: next(stale, None) if stale.__length_hint__() else seen(*a))
+    assert sinks.publish_generation(make(2), root, "a", 2).count() == 2
+    assert sorted((r["number"], r["generation"]) for r in seen(spark, root).collect()) == [(1, "b"), (2, "a")]
+    with pytest.raises(ValueError, match="before"):
+        sinks.publish_generation(make(3), root, "a", 3)
+    assert sinks.active_generation(spark, root).count() == 2
