@@ -22,6 +22,7 @@ OTHER_MARKS = (
 FOLLOW_UPS, FRENCH_WORDS, FRENCH_LETTERS = ("turn 1", "turn 2", "tell me more", "that"), ("comment", "quel", "numéro", "clientèle"), "[àâçéèêëîïôùûü]"
 #: Below this confidence, above this many characters or sources a question needs the larger model; and what marks a structured document.
 LEAST_CONFIDENCE, MOST_CHARS, MOST_SOURCES = 0.75, 220, 1
+SECTION = r"\b(?:sec|section)\.?\s*([0-9]+(?:\.[0-9]+)?[a-z]?)"
 STRUCTURED = ("is_table", "table_row", "requires_calculation", "conflicting_version")
 
 
@@ -40,15 +41,16 @@ def row_kind(expected: Column, test_type: Column) -> Column:
 
 
 def expected_pages(raw: Column) -> Column:
-    """Page numbers, those within ranges too, as text."""
+    """Page numbers, those within ranges too, as text; the number of a section is no page."""
+    raw = F.regexp_replace(F.coalesce(raw, F.lit("")), rf"(?i){SECTION}(?:\s*[-–]\s*[0-9]+(?:\.[0-9]+)?[a-z]?)?", " ")
     number = lambda x, k: F.regexp_extract(x, r"(\d+)\s*[-–]\s*(\d+)", k).cast("int")
-    ranges = F.filter(F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r"(\d+)\s*[-–]\s*(\d+)"), F.lit(0)), lambda x: number(x, 1) <= number(x, 2))
-    single = F.regexp_extract_all(F.coalesce(raw, F.lit("")), F.lit(r"\d+(?:\.0+)?"), F.lit(0))
+    ranges = F.filter(F.regexp_extract_all(raw, F.lit(r"(\d+)\s*[-–]\s*(\d+)"), F.lit(0)), lambda x: number(x, 1) <= number(x, 2))
+    single = F.regexp_extract_all(raw, F.lit(r"\d+(?:\.0+)?"), F.lit(0))
     return F.transform(F.array_sort(F.array_distinct(F.concat(F.flatten(F.transform(ranges, lambda x: F.sequence(number(x, 1), number(x, 2)))), F.transform(single, lambda x: x.cast("double").cast("int"))))), lambda n: n.cast("string"))
 
 
 def expected_sections(raw: Column) -> Column:
-    return F.regexp_extract_all(F.lower(F.coalesce(raw, F.lit(""))), F.lit(r"\b(?:sec|section)\.?\s*([0-9]+(?:\.[0-9]+)?[a-z]?)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(raw, F.lit(""))), F.lit(SECTION), F.lit(1))
 
 
 def names_document(expected: Column) -> Column:

@@ -24,6 +24,13 @@ def test_kinds_pages_and_sections(spark):
     assert [r[0] for r in spark.createDataFrame(raw, "p string, w array<string>").select(E.expected_sections(F.col("p"))).collect()] == [w for _, w in raw]
 
 
+def test_the_number_of_a_section_is_no_page(spark):
+    raw = [("Section 2.1", []), ("SEC. 4b, pages 3-4", ["3", "4"]), ("section 2-4", []), ("intersection 5", ["5"])]
+    assert [r[0] for r in spark.createDataFrame(raw, "p string, w array<string>").select(E.expected_pages(F.col("p"))).collect()] == [w for _, w in raw]
+    rows = [(0, "q", "Handbook.pdf", "Section 2.1", "", [hit(page="2")], [hit(page="2")])]
+    assert [r["status"] for r in E.evaluated(spark.createDataFrame(rows, PLAN)).collect()] == ["FAIL_SECTION_NOT_FOUND"]
+
+
 def test_sections_match_by_number(spark):
     cases = [(["2.1"], "part 2.1 of", True), (["2.1"], "part 2-1a", True), (["2.1b"], "see 2.1 (c)", True), (["2.1b"], "2-1", True), (["2.1"], "12.1", False), (["2.1"], "2.12", False), ([], "2.1", False), (["2.1", "7"], "in 7.", True)]
     df = spark.createDataFrame([(s, ("1", "", "", x)) for s, x, _ in cases], "s array<string>, one struct<title:string,page:string,source:string,excerpt:string>")
