@@ -135,14 +135,9 @@ SELECT a.query_id, a.vec_id, round(a.s - b.s, 6) AS margin, NOT (a.label <> b.la
 )
 def semantic_cache_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best cached answer, unless a different one is nearly as good."""
-    from quillmill.functions.vectors import dot
-    from quillmill.operators.retrieval import vector_pairs
-
-    s = dot(F.col("v"), F.col("q.qv")) / (F.col("n") * F.col("q.qn"))
-    p = vector_pairs(spark, sf_dir).select(F.col("q.query_id").alias("query_id"), "vec_id", "label", s.alias("s"))
-    # the scores are made once; Spark cuts each task's rows to the two best before it shuffles them
-    order = Window.partitionBy("query_id").orderBy(F.round("s", 9).desc(), F.asc("vec_id"))
-    two = p.withColumn("r", F.row_number().over(order)).filter("r <= 2")
+    from quillmill.operators.retrieval import vector_best
+
+    two = vector_best(spark, sf_dir, 2, positive=False).withColumnsRenamed({"score": "s", "rank": "r"})
     one = F.struct(F.col("vec_id").alias("id"), "label", "s")
     second = two.groupBy("query_id").agg(F.min_by(one, "r").alias("a"), F.max_by(one, "r").alias("b"), F.count("*").alias("k")).filter("k = 2")
     margin = F.col("a.s") - F.col("b.s")

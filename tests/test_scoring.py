@@ -51,3 +51,26 @@ def test_repeated_ids_and_odd_texts(spark, odd, name):
 def test_no_pair_of_question_and_document_is_shuffled_before_the_best_are_chosen(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["vector_topk", "semantic_cache_hits"])
+def test_no_pair_of_vectors_is_stored_or_ordered_before_the_best_are_chosen(spark, small, name):
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_vectors_by_small_blocks_and_odd_ones(spark, tmp_path, monkeypatch):
+    """Copies, opposite and zero vectors, other lengths and a null label; many blocks and parts."""
+    from quillmill.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2), monkeypatch.setattr(retrieval, "PART", 5)
+    con = duckdb.connect()
+    con.execute("create table embeddings (vec_id bigint, embedding float[], label integer)")
+    rng = np.random.default_rng(3)
+    rows = [(i, [0.0] * 4 if i == 7 else [1.0, 2.0, 0.0, 1.0] if i % 9 == 0 else rng.normal(size=4).round(3).tolist(), None if i == 11 else i % 3) for i in range(90)]
+    con.executemany("insert into embeddings values (?, ?, ?)", rows)
+    con.execute(f"copy embeddings to '{tmp_path}/embeddings.parquet' (format parquet)")
+    con.execute("delete from embeddings where vec_id = 7")  # SQL has no cosine of a zero vector
+    for name in ("vector_topk", "semantic_cache_hits"):
+        got = entry.queries()[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=repr)
