@@ -40,14 +40,14 @@ def odd(tmp_path_factory):
     return str(path), con
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search"])
+@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search", "prefix_rank_search"])
 def test_repeated_ids_and_odd_texts(spark, odd, name):
     got = entry.queries()[name](spark, odd[0])
     want = odd[1].execute(entry.oracle_sql()[name]).fetchall()
-    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) == 20
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) >= 20
 
 
-@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search"])
+@pytest.mark.parametrize("name", ["bm25_search", "tfidf_search", "prefix_rank_search", "cover_density_search"])
 def test_no_pair_of_question_and_document_is_shuffled_before_the_best_are_chosen(spark, small, name):
     plan = entry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "HashAggregate" not in plan
