@@ -74,3 +74,18 @@ def test_vectors_by_small_blocks_and_odd_ones(spark, tmp_path, monkeypatch):
     for name in ("vector_topk", "semantic_cache_hits"):
         got = entry.queries()[name](spark, str(tmp_path))
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(con.execute(entry.oracle_sql()[name]).fetchall(), key=repr)
+
+
+def test_words_stand_for_those_within_the_allowed_edits():
+    con = duckdb.connect()
+    rng = np.random.default_rng(5)
+    words = list({"".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 14, 250).tolist()})
+    found = S.Expanded(words[:60], 7)
+    for w in words:
+        want = con.execute("select i, damerau_levenshtein(a, ?) d from (select unnest(range(len(x))) i, unnest(x) a from (select ?::varchar[] x)) where d <= case when length(a) <= 2 then 0 when length(a) <= 5 then 1 else 2 end", [w, words[:60]]).fetchall()
+        assert sorted(found[w]) == sorted(want)
+
+
+def test_expansions_and_postings_are_not_shuffled(spark, small):
+    plan = entry.queries()["multi_field_search"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan and "HashAggregate" not in plan
