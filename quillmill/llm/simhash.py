@@ -139,7 +139,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     return prints.join(named, "fp").select("doc_id", hexadecimal, "component_id")
 
 
-# Similar texts (Jaccard similarity of shingle sets) by an exact prefix-filter join.
+# Near duplicates of the pipeline: groups of similar texts (Jaccard similarity of shingle sets).
+#
+# First come the fingerprints: the range join above gives the pairs within ``DISTANCE`` bits,
+# an exact check of the shingle sets follows, and what holds is linked.  A text may be similar to
+# another and more than ``DISTANCE`` bits away from it, so an exact prefix-filter join finds the
+# similar pairs that the fingerprints have not linked; it passes over those that they have.
 #
 # All shingles have one order.  Two sets of the similarity share so much that the first
 # shingles of each, a fifth of it and one more, have one in common: those are the cells
@@ -225,8 +230,8 @@ def frequent_shingles(docs: DataFrame, size: int = STAGE_SHINGLE) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, late: np.ndarray, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
-    """doc_id, digest of the words (two longs), number of shingles, their parity bits and the first shingles."""
-    schema = "doc_id long, h1 long, h2 long, n int, bits binary, parts array<long>"
+    """doc_id, digest of the words (two longs), fingerprint, number of shingles, their parity bits and the first shingles."""
+    schema = "doc_id long, h1 long, h2 long, fp long, n int, bits binary, parts array<long>"
 
     def run(batches):
         import xxhash
@@ -237,17 +242,35 @@ def sketches(docs: DataFrame, late: np.ndarray, similarity: float = SIMILARITY,
             hashes = [shingle_hashes(x, size) for x in texts]
             parts = pa.array([prefix(h, late, similarity).view(np.int64) for h in hashes], pa.list_(pa.int64()))
             n, bits = pa.array([len(h) for h in hashes], pa.int32()), pa.array([parity_bits(h) for h in hashes], pa.binary())
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), n, bits, parts], ["doc_id", "h1", "h2", "n", "bits", "parts"])
+            fps = pa.array(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64), pa.int64())
+            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), fps, n, bits, parts], ["doc_id", "h1", "h2", "fp", "n", "bits", "parts"])
 
     return docs.select("doc_id", "text").filter("doc_id is not null").mapInArrow(run, schema)
 
 
+def fingerprint_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Pairs (x, y) of texts (rep, fp, n) by the range join of their fingerprints, if so many shingles can have the similarity.
+
+    Texts of one fingerprint meet its least id, and least ids meet where their fingerprints link.
+    """
+    texts = texts.select("rep", "fp", "n")
+    first = stored(texts.groupBy("fp").agg(F.min(F.struct("rep", "n")).alias("least")), "prints")
+    linked = stored(links(first.select("fp")), "print-links")
+    of = lambda k: first.select(F.col("fp").alias(k), F.col("least").alias(f"of_{k}"))
+    apart = linked.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a.rep").alias("x"), F.col("of_a.n").alias("n"), F.col("of_b.rep").alias("y"), F.col("of_b.n").alias("m"))
+    same = texts.join(first, "fp").filter("rep <> least.rep").select(F.col("rep").alias("x"), "n", F.col("least.rep").alias("y"), F.col("least.n").alias("m"))
+    pairs = apart.unionByName(same).filter(_sizes("n", "m", similarity))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
     """doc_id and ``root``: the smallest id of the group that similar texts form."""
     every = stored(sketches(docs, frequent_shingles(docs, size), similarity, size), "sketches")
-    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parts").alias("parts")), "texts")
+    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parts").alias("parts")), "texts")
     bits = texts.select(F.col("rep").alias("id"), F.col("bits").alias("v"))
 
+    by_print = stored(verified(stored(fingerprint_pairs(texts, similarity), "print-pairs"), bits, docs, similarity, size), "alike-prints")
+
     members = texts.select("rep", "n", F.explode("parts").alias("s"))
     cells = stored(members.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1"), "cells")
     shared = stored(members.join(cells, "s"), "shared")
@@ -260,7 +283,8 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int =
 
     met = shared.join(ends, "s").select(F.col("rep").alias("x"), "n", F.explode(F.array("least", "most")).alias("y")).filter(_sizes("n", "y.n", similarity))
     pairs = met.select("x", F.col("y.rep").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    alike = stored(verified(stored(pairs, "pairs"), bits, docs, similarity, size), "alike")
+    pairs = pairs.join(by_print, ["x", "y"], "left_anti")
+    alike = by_print.unionByName(stored(verified(stored(pairs, "pairs"), bits, docs, similarity, size), "alike"))
     roots = stored(components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "linked"), "linked-roots")
     release_shuffles(docs.sparkSession)
     alike = alike.unionByName(stored(unlinked(shared, roots, bits, docs, similarity, size), "alike"))

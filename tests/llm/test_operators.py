@@ -772,3 +772,25 @@ def test_parity_bits_lose_no_similar_pair():
             assert allowed
         refused += not allowed
     assert refused > 100
+
+
+def test_near_duplicate_stage_joins_fingerprints(spark, monkeypatch):
+    """The pipeline's stage links by SimHash fingerprints within two bits, and checks what they give by shingle sets."""
+    r, rows = random.Random(5), {}
+    for k in range(60):
+        text = [f"w{r.randrange(10**9)}" for _ in range(400)]
+        rows[3 * k], rows[3 * k + 1] = " ".join(text), " ".join([*text[:-1], "other"])
+    heavy = "the same line of words once more " * 200  # one fingerprint, few shingles in common
+    rows |= {1000 + k: heavy + " ".join(f"v{r.randrange(10**9)}" for _ in range(40)) for k in range(2)}
+    prints = {k: simhash.fingerprint(x) for k, x in rows.items()}
+    sets = {k: set(simhash.shingle_hashes(x, 5).tolist()) for k, x in rows.items()}
+    near = {(a, b) for a, b in itertools.combinations(sorted(rows), 2) if (prints[a] ^ prints[b]).bit_count() <= 2}
+    alike = {(a, b) for a, b in near if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(alike) >= 5 and (1000, 1001) in near - alike
+
+    found, pairs = [], simhash.fingerprint_pairs
+    monkeypatch.setattr(simhash, "fingerprint_pairs", lambda texts, similarity: found.append(pairs(texts, similarity)) or found[0])
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    kept = {x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert {(x["x"], x["y"]) for x in found[0].collect()} == near
+    assert kept == {k for k in rows if k % 3 != 1 or k >= 1000}
