@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,20 @@ def test_whole_table(spark, small):
         want[r["doc_id"]] = hashlib.sha256(x.encode()).hexdigest()
     got = scrub.grounded_scrub(spark, small).collect()
     assert {r["doc_id"]: r["scrubbed_hash"] for r in got} == want and sum(r["marks"] for r in got) > 5
+
+
+@pytest.mark.parametrize("name", ["html_sanitize", "grounded_scrub"])
+def test_python_gets_small_batches(spark, small, name):
+    """After a query is made, a worker gets few rows at a time, and fewer where they are long."""
+    from quillmill.plans.catalogue import queries
+
+    @F.pandas_udf("long")
+    def rows(texts: pd.Series) -> pd.Series:
+        return pd.Series([len(texts)] * len(texts))
+
+    for key in ("Records", "Bytes"):
+        spark.conf.unset(f"spark.sql.execution.arrow.max{key}PerBatch")
+    queries()[name](spark, small)
+    texts = lambda n, size: spark.range(n, numPartitions=1).select(rows(F.repeat(F.col("id").cast("string"), size)).alias("n"))
+    assert max(r["n"] for r in texts(3000, 1).collect()) <= 500
+    assert max(r["n"] for r in texts(200, 100_000).collect()) <= 50
