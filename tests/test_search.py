@@ -114,6 +114,24 @@ def test_same_vector_many_times(spark):
     assert [r["vec_id"] for r in got] == list(range(10)) and collections.Counter(r["score"] for r in got) == {1.0: 10}
 
 
+def test_blocks_and_parts_keep_few_rows(spark, monkeypatch):
+    """Each block of queries and part of vectors leaves at most k rows a query, and the best of all are exact; rows without label or id are no neighbours."""
+    monkeypatch.setattr(nearest, "PART", 70)
+    monkeypatch.setattr(nearest, "QUERY_BLOCK", 4)
+    r = np.random.default_rng(4)
+    x = r.normal(size=(400, 8))
+    rows = [(i, i % 2, x[i].tolist()) for i in range(400)] + [(None, 0, x[0].tolist()), (1000, None, x[0].tolist())]
+    v = spark.createDataFrame(rows, "vec_id long, label int, v array<double>")
+    q = v.filter("vec_id % 20 = 0")
+    centres = nearest.centroids(v.filter("vec_id < 400"))
+    lists = nearest.listed(v.filter("vec_id < 400 and label is not null"), centres)
+    every = nearest.probes(q.filter("label is not null"), centres, dict.fromkeys(range(len(centres)), 3.2))
+    assert nearest._scanned(lists, every, 5).count() <= 20 * 3 * 5
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(i, j) for i in range(0, 400, 20) for j in sorted((j for j in range(i % 2, 400, 2) if j != i and x[i] @ x[j] > 0), key=lambda j: -(x[i] @ x[j]))[:5]}
+    assert {(n["query_id"], n["vec_id"]) for n in nearest.neighbours(v, q, k=5, probe=2, exact=True).collect()} == want
+
+
 def score_by_hand(found, question, section_id, title, content):
     words = [w for w in dict.fromkeys(re.findall(r"[^\W_]+", question.lower())) if len(w) > 1]
     phrases = list(dict.fromkeys(" ".join(words[i : i + n]) for n in (4, 3, 2) for i in range(len(words) - n + 1)))[:12]
