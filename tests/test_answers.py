@@ -76,3 +76,10 @@ def test_excerpts_equal_brute_force(spark):
     df = spark.createDataFrame(pairs, "question string, text string").withColumn("answer", answers.answer_parts(F.col("question")))
     got = [(r["b"]["score"], r["b"]["excerpt"]) for r in df.select(answers.best_excerpt("answer", "text").alias("b")).collect()]
     assert got == [excerpt_by_hand(*p) for p in pairs]
+
+
+def test_object_is_parsed_without_its_schema(spark):
+    texts = ['{"a": 1}', ' \t\n{"a": [1, {"b": 2}]}\r\n', 'Answer: {"a": 1} so', '[{"a": 1}]', "[1]", '"{}"', "{", "}{", "", None, '{"a": 1} x', "3"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").select(answers.parsed_object(F.col("t")).cast("string").alias("v"))
+    assert "schema_of_variant" not in df._jdf.queryExecution().toString() and "regexp" not in df._jdf.queryExecution().toString()
+    assert [r["v"] for r in df.collect()] == ['{"a":1}', '{"a":[1,{"b":2}]}', '{"a":1}', '{"a":1}', None, "{}", None, None, None, None, '{"a":1}', None]
