@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmill.llm.common import documents, prepare, stored
+from quillmill.llm.common import discard, documents, prepare, stored
 from quillmill.llm.packing import pack
 from quillmill.llm.secret_scan import masked
 from quillmill.llm.simhash import keep_first
@@ -59,7 +59,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(prepare(spark), sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        given, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = stored(docs, f"stage-{name}")
+            if k:
+                discard(given)
     return docs

@@ -7,6 +7,7 @@ import itertools
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -60,8 +61,23 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the stored tables that ``frames`` read.  Nothing may read them any more; what does not come from ``stored`` is left alone."""
+    for df in frames:
+        context = df.sparkSession.sparkContext
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if folder.rpartition("/")[2].startswith("quillmill-"):
+                path = context._jvm.org.apache.hadoop.fs.Path(context._jvm.java.net.URI(folder))
+                path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of jobs that are done, which it does once the driver has collected what refers to them."""
+    """Let Spark remove the shuffle files of jobs that are done, which it does once the driver has collected what refers to them.
+
+    The threads that listen to a session refer to the query that ended last until they hear of another one.
+    """
+    spark.sql("select 1").collect()
+    time.sleep(0.1)
     spark.sparkContext._jvm.java.lang.System.gc()
 
 
@@ -79,6 +95,24 @@ def bucket(doc_id, n: int):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % F.lit(n)
 
 
+#: Of the map of ids that ``sifted`` broadcasts, as at most BITS / 64 longs.
+BITS = 1 << 23
+
+
+def sifted(rows: DataFrame, ids: DataFrame, column: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """The rows whose ``column`` is surely not among that of ``ids``, and all others.
+
+    Each id sets a bit of a map of bounded size, so that rows are told apart where they are read. The others, which are those of
+    the ids and those that share a bit with one, are still to be joined with the ids; only they are shuffled for it.
+    """
+    bit = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(BITS))
+    flag = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = ids.select(F.shiftright(bit, 6).alias("_word"), flag.alias("_flag")).groupBy("_word").agg(F.bit_or("_flag").alias("_flags"))
+    marked = rows.join(F.broadcast(words), F.shiftright(bit, 6) == F.col("_word"), "left")
+    hit = F.coalesce(F.col("_flags").bitwiseAND(flag) != 0, F.lit(False))
+    return marked.filter(~hit).select(*rows.columns), marked.filter(hit).select(*rows.columns)
+
+
 def whole_rows(docs: DataFrame) -> DataFrame:
     """``k`` (doc_id), ``t`` (text) and ``row`` (all columns): names that joins can add to without a clash."""
     return docs.select(F.col("doc_id").alias("k"), F.col("text").alias("t"), F.struct(*docs.columns).alias("row"))

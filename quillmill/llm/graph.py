@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import stored
+from quillmill.llm.common import discard, stored
 
 
 def components(edges: DataFrame, label: str = "components", most_rounds: int = 60) -> DataFrame:
@@ -19,7 +19,9 @@ def components(edges: DataFrame, label: str = "components", most_rounds: int = 6
     now = stored(_ordered(edges), label)
     before = None
     for _ in range(most_rounds):
-        now = stored(_small_star(_large_star(now)), label)
+        step = _small_star(_large_star(now))
+        now = stored(step, label)
+        discard(step)  # the round before, and its least neighbours
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             break

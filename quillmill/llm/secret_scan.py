@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import stored, whole_rows, with_text
+from quillmill.llm.common import release_shuffles, stored, whole_rows, with_text
 
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 BLOCK = 256  # matches
@@ -204,9 +204,24 @@ def append_ledger(docs: DataFrame, path: str, rules: tuple[Rule, ...] = RULES) -
 
 
 def masked(docs: DataFrame, mark: str = "[secret]", ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of ``docs`` with every finding in ``text`` replaced by ``mark``; overlapping findings become one."""
+    """The rows of ``docs`` with every finding in ``text`` replaced by ``mark``; overlapping findings become one.
+
+    Without a ledger every text is to be scanned, so rows are matched where they are read: those without a match of
+    any rule have no finding and stay as they are; the others become blobs, and only they are shuffled.
+    """
+    if ledger is not None:
+        return _masked(docs, mark, ledger, rules)
+    matched = F.lit(False)
+    for rule in rules:
+        matched = matched | F.coalesce(F.col("text"), F.lit("")).rlike(rule.pattern)
+    some = stored(docs.filter(matched), "matched")
+    return docs.filter(~matched).unionByName(_masked(some, mark, None, rules))
+
+
+def _masked(docs: DataFrame, mark: str, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
     named = whole_rows(docs).withColumn("_blob", F.sha2(F.coalesce(F.col("t"), F.lit("")), 256))
     found = blob_findings(docs.select("doc_id", "text"), ledger, rules).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    release_shuffles(docs.sparkSession)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(done: Column, x: Column) -> Column:

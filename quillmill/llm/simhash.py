@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import release_shuffles, stored
+from quillmill.llm.common import discard, release_shuffles, sifted, stored
 from quillmill.llm.graph import components
 
 SEED = 42
@@ -110,6 +110,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, cell_limit: int = CELL_
     # written before it is joined: a join of plain tables is split where a cell is dense
     sizes = stored(cells.groupBy("k", "cell").agg(F.count("*").alias("n")).filter("n > 1"), "sizes")
     shared = stored(cells.join(sizes, ["k", "cell"]), "shared")
+    discard(cells, sizes)
     few = shared.filter(F.col("n") <= cell_limit)
     left = few.select("k", "cell", F.col("fp").alias("a"), F.col("u").alias("ua"))
     right = few.select("k", "cell", F.col("fp").alias("b"), F.col("u").alias("ub"))
@@ -130,7 +131,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, distance: int = DISTAN
     """doc_id, fingerprint (hexadecimal), component_id and links (of distinct fingerprints) of each row."""
     prints = stored(fingerprints(docs, size), "fingerprints")
     by_print = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    edges = stored(links(by_print.select("fp"), distance, cell_limit), "links")
+    near = links(by_print.select("fp"), distance, cell_limit)
+    edges = stored(near, "links")
+    discard(near)
     members = components(edges)
     rooted = by_print.join(members.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -255,42 +258,69 @@ def fingerprint_pairs(texts: DataFrame, similarity: float = SIMILARITY) -> DataF
     """
     texts = texts.select("rep", "fp", "n")
     first = stored(texts.groupBy("fp").agg(F.min(F.struct("rep", "n")).alias("least")), "prints")
-    linked = stored(links(first.select("fp")), "print-links")
+    near = links(first.select("fp"))
+    linked = stored(near, "print-links")
+    discard(near)
     of = lambda k: first.select(F.col("fp").alias(k), F.col("least").alias(f"of_{k}"))
     apart = linked.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a.rep").alias("x"), F.col("of_a.n").alias("n"), F.col("of_b.rep").alias("y"), F.col("of_b.n").alias("m"))
     same = texts.join(first, "fp").filter("rep <> least.rep").select(F.col("rep").alias("x"), "n", F.col("least.rep").alias("y"), F.col("least.n").alias("m"))
     pairs = apart.unionByName(same).filter(_sizes("n", "m", similarity))
-    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    pairs = stored(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "print-pairs")
+    discard(first, linked)
+    return pairs
 
 
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
-    """doc_id and ``root``: the smallest id of the group that similar texts form."""
+    """doc_id and ``root``: the smallest id of the group that similar texts form.
+
+    A stored table is deleted, and shuffle files are released, as soon as what reads them is stored.
+    """
     every = stored(sketches(docs, frequent_shingles(docs, size), similarity, size), "sketches")
-    texts = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parts").alias("parts")), "texts")
+    whole = stored(every.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("parts").alias("parts")), "texts")
+    named = stored(every.select("doc_id", "h1", "h2"), "named")
+    discard(every)
+    release_shuffles(docs.sparkSession)
+    members = stored(whole.select("rep", "n", "parts"), "parts").select("rep", "n", F.explode("parts").alias("s"))
+    texts = stored(whole.drop("parts"), "texts")
+    discard(whole)
     bits = texts.select(F.col("rep").alias("id"), F.col("bits").alias("v"))
 
-    by_print = stored(verified(stored(fingerprint_pairs(texts, similarity), "print-pairs"), bits, docs, similarity, size), "alike-prints")
-
-    members = texts.select("rep", "n", F.explode("parts").alias("s"))
     cells = stored(members.groupBy("s").agg(F.count("*").alias("k")).filter("k > 1"), "cells")
+    release_shuffles(docs.sparkSession)
     shared = stored(members.join(cells, "s"), "shared")
+    discard(members, cells)
     release_shuffles(docs.sparkSession)
+
+    by_print = verified(fingerprint_pairs(texts, similarity), bits, docs, similarity, size)
+
     # a text's weight is the number of its shingles that others have
     weights = stored(shared.groupBy("rep").agg(F.count("*").alias("w")), "weights")
     weighed = stored(shared.join(weights, "rep"), "weighed")
     ends = weighed.groupBy("s").agg(F.min(F.struct("rep", "n")).alias("least"), F.max(F.struct("w", F.negative("rep").alias("r"), "rep", "n")).alias("most"))
     ends = stored(ends.select("s", "least", F.struct("most.rep", "most.n").alias("most")), "ends")
+    discard(weights, weighed)
+    release_shuffles(docs.sparkSession)
 
     met = shared.join(ends, "s").select(F.col("rep").alias("x"), "n", F.explode(F.array("least", "most")).alias("y")).filter(_sizes("n", "y.n", similarity))
     pairs = met.select("x", F.col("y.rep").alias("y")).filter("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-    pairs = pairs.join(by_print, ["x", "y"], "left_anti")
-    alike = by_print.unionByName(stored(verified(stored(pairs, "pairs"), bits, docs, similarity, size), "alike"))
-    roots = stored(components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "linked"), "linked-roots")
+    pairs = stored(pairs.join(by_print, ["x", "y"], "left_anti"), "pairs")
+    discard(ends)
     release_shuffles(docs.sparkSession)
-    alike = alike.unionByName(stored(unlinked(shared, roots, bits, docs, similarity, size), "alike"))
+    alike = by_print.unionByName(verified(pairs, bits, docs, similarity, size))
+    linked = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "linked")
+    roots = stored(linked, "linked-roots")
+    discard(pairs, linked)
+    release_shuffles(docs.sparkSession)
+    rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = stored(rooted, "rooted")
+    discard(shared, roots)
+    alike = alike.unionByName(unlinked(rooted, bits, docs, similarity, size))
     roots = components(alike.select(F.col("x").alias("a"), F.col("y").alias("b")), "groups")
-    named = texts.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
-    return every.select("doc_id", "h1", "h2").join(named, ["h1", "h2"]).select("doc_id", "root")
+    by_text = texts.select("h1", "h2", "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("root"))
+    groups = stored(named.join(by_text, ["h1", "h2"]).select("doc_id", "root"), "groups-of-rows")
+    discard(rooted, alike, roots, texts, named)
+    release_shuffles(docs.sparkSession)
+    return groups
 
 
 def _sizes(n: str, m: str, similarity: float) -> Column:
@@ -298,14 +328,13 @@ def _sizes(n: str, m: str, similarity: float) -> Column:
     return F.least(n, m) >= similarity * F.greatest(n, m) - 1e-6
 
 
-def unlinked(shared: DataFrame, roots: DataFrame, bits: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
-    """Similar pairs (x, y) of members of one cell that have different roots, at least one for each two roots that have any."""
-    rooted = shared.join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    rooted = stored(rooted, "rooted")
+def unlinked(rooted: DataFrame, bits: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
+    """Similar pairs (x, y) of members (s, rep, n, root) of one cell that have different roots, at least one for each two roots that have any."""
     by_root = stored(rooted.groupBy("s", "root").agg(F.count("*").alias("c")), "by-root")
     main = by_root.groupBy("s").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("k"), F.count("*").alias("roots")).filter("roots > 1")
-    main = main.select("s", F.col("m.root").alias("main"), (F.col("k") - F.col("m.c")).alias("others"))
-    mixed = stored(rooted.join(stored(main, "mixed-cells"), "s"), "mixed")
+    main = stored(main.select("s", F.col("m.root").alias("main"), (F.col("k") - F.col("m.c")).alias("others")), "mixed-cells")
+    mixed = stored(rooted.join(main, "s"), "mixed")
+    discard(by_root, main)
 
     # small cells; the count is of all that a pair shares unless it shares a dense one, where it is compared anyway
     few = mixed.filter(F.col("k") <= PAIR_LIMIT)
@@ -316,7 +345,10 @@ def unlinked(shared: DataFrame, roots: DataFrame, bits: DataFrame, docs: DataFra
     # shingles in common that are not among the first of both lie beyond the first ones of one of them
     rest = F.ceil(F.greatest("nx", "ny") * similarity - 1e-6) - 1
     release_shuffles(docs.sparkSession)
-    small = verified(stored(pairs.filter(F.col("c") + rest >= need).select("x", "y"), "pairs"), bits, docs, similarity, size)
+    pairs = stored(pairs.filter(F.col("c") + rest >= need).select("x", "y"), "pairs")
+    release_shuffles(docs.sparkSession)
+    small = verified(pairs, bits, docs, similarity, size)
+    discard(pairs)
 
     # dense cells: the members outside the main root against all, block by block
     many = mixed.filter(F.col("k") > PAIR_LIMIT)
@@ -324,7 +356,10 @@ def unlinked(shared: DataFrame, roots: DataFrame, bits: DataFrame, docs: DataFra
     draw = F.xxhash64("rep", F.lit(SEED))
     left = many.filter("root <> main").select("s", "rep", "root", F.lit(0).alias("side"), F.pmod(draw, rows).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), cols - 1)).alias("j"))
     right = many.select("s", "rep", "root", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), rows - 1)).alias("i"), F.pmod(draw, cols).cast("int").alias("j"))
-    texts = stored(_hashed(docs, many.select(F.col("rep").alias("doc_id")).distinct(), size), "hashed").withColumnRenamed("doc_id", "rep")
+    asked = stored(many.select(F.col("rep").alias("doc_id")).distinct(), "asked-sets")
+    hashed = stored(_hashed(docs, asked, size), "hashed")
+    discard(asked)
+    release_shuffles(docs.sparkSession)
 
     def compare(table: pa.Table) -> pa.Table:
         side, rep, root = (table.column(k).to_numpy() for k in ("side", "rep", "root"))
@@ -338,8 +373,11 @@ def unlinked(shared: DataFrame, roots: DataFrame, bits: DataFrame, docs: DataFra
         once = np.unique(ends, axis=0, return_index=True)[1] if len(ends) else np.zeros(0, np.int64)
         return pa.table({"x": pa.array(rep[x[once]], pa.int64()), "y": pa.array(rep[y[once]], pa.int64())})
 
-    dense = left.unionByName(right).join(texts, "rep").groupBy("s", "i", "j").applyInArrow(compare, "x long, y long")
-    return small.unionByName(dense).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    dense = left.unionByName(right).join(hashed.withColumnRenamed("doc_id", "rep"), "rep").groupBy("s", "i", "j").applyInArrow(compare, "x long, y long")
+    alike = stored(small.unionByName(dense).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "alike")
+    discard(small, mixed, hashed)
+    release_shuffles(docs.sparkSession)
+    return alike
 
 
 def alike_sets(left: list[np.ndarray], right: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -375,7 +413,7 @@ def _hashed(docs: DataFrame, asked: DataFrame, size: int) -> DataFrame:
         for b in batches:
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array([shingle_hashes(x, size).tobytes() for x in b.column(1).to_pylist()], pa.binary())], ["doc_id", "h"])
 
-    texts = docs.select("doc_id", "text").join(asked, "doc_id", "left_semi")
+    texts = sifted(docs.select("doc_id", "text"), asked)[1].join(asked, "doc_id", "left_semi")
     return texts.mapInArrow(run, "doc_id long, h binary")
 
 
@@ -391,15 +429,15 @@ def one_a_document(docs: DataFrame) -> DataFrame:
     return docs.join(several, "doc_id", "left_anti").select(*docs.columns).unionByName(chosen)
 
 
-def _met(pairs: DataFrame, values: DataFrame, label: str) -> DataFrame:
-    """hub, leaf and their values s and t, of each pair (x, y); ``values`` has columns id and v.
+def _met(pairs: DataFrame, values: DataFrame, label: str) -> tuple[DataFrame, list[DataFrame]]:
+    """hub, leaf and their values s and t, of each pair (x, y), and the tables stored for them; ``values`` has columns id and v.
 
     Each pair goes from its ``leaf``, which is in fewer pairs, to its ``hub``; so no leaf
     has more pairs than about the square root of all.  The pairs of a hub are dealt to
     blocks of about PAIRS_A_BLOCK, and its value goes once to each.
     """
     degree = stored(pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n")), "degrees")
-    asked = stored(values.join(degree, "id").select("id", "n", "v"), label)
+    asked = stored(sifted(values, degree, "id")[1].join(degree, "id").select("id", "n", "v"), label)
     of = lambda k: degree.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"))
     met = pairs.join(of("x"), "x").join(of("y"), "y")
     turned = F.col("nx") >= F.col("ny")
@@ -407,7 +445,7 @@ def _met(pairs: DataFrame, values: DataFrame, label: str) -> DataFrame:
     blocks = F.ceil(F.col("n") / PAIRS_A_BLOCK).cast("int")
     leaves = met.withColumn("part", F.pmod(F.xxhash64("leaf"), blocks).cast("int")).join(asked.select(F.col("id").alias("leaf"), F.col("v").alias("t")), "leaf")
     hubs = asked.select(F.col("id").alias("hub"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("part"), F.col("v").alias("s"))
-    return leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "s", "t")
+    return leaves.join(hubs, ["hub", "part"]).select("hub", "leaf", "s", "t"), [degree, asked]
 
 
 def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, similarity: float, size: int) -> DataFrame:
@@ -430,10 +468,17 @@ def verified(pairs: DataFrame, bits: DataFrame, docs: DataFrame, similarity: flo
                 keep.append(union == 0 or shared >= similarity * union)
             yield pa.record_batch([b.column(0), b.column(1)], ["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    left = stored(_met(pairs.select("x", "y"), bits, "asked-bits").mapInArrow(possible, "x long, y long").distinct(), "possible")
+    met, scratch = _met(pairs.select("x", "y"), bits, "asked-bits")
+    left = stored(met.mapInArrow(possible, "x long, y long").distinct(), "possible")
+    discard(*scratch)
+    release_shuffles(docs.sparkSession)
     # texts rather than sets travel: they are smaller, and compress
     texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("v"))
-    return _met(left, texts, "asked").mapInArrow(similar, "x long, y long").distinct()
+    met, scratch = _met(left, texts, "asked")
+    alike = stored(met.mapInArrow(similar, "x long, y long").distinct(), "alike")
+    discard(left, *scratch)
+    release_shuffles(docs.sparkSession)
+    return alike
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAGE_SHINGLE) -> DataFrame:
@@ -442,5 +487,8 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, size: int = STAG
     Blank texts are similar to one another.  Of rows that share an id and differ in text, only the one with the least digest of its text counts.
     """
     one = one_a_document(docs.filter("doc_id is not null"))
-    gone = stored(similar_groups(one, similarity, size).filter("doc_id <> root").select("doc_id"), "gone")
-    return one.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    groups = similar_groups(one, similarity, size)
+    gone = stored(groups.filter("doc_id <> root").select("doc_id"), "gone")
+    discard(groups)
+    sure, others = sifted(one, gone)
+    return sure.unionByName(others.join(gone, "doc_id", "left_anti").select(*docs.columns)).unionByName(docs.filter("doc_id is null"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.llm.common import stored, whole_rows, with_text
+from quillmill.llm.common import discard, release_shuffles, sifted, stored, whole_rows, with_text
 
 WINDOW = 16
 RADIUS = 24
@@ -121,19 +121,29 @@ def chunks(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start int, length int, h1 long, h2 long")
 
 
+def repeated_chunks(docs: DataFrame) -> DataFrame:
+    """Digest, first place and number of copies of each chunk that occurs again."""
+    place = F.struct("doc_id", "start")
+    counted = chunks(docs).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
+    # rows that repeat an id and a text have the same place, so they alone make no copies
+    again = counted.filter(F.col("first") != F.col("last")).select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies")
+    again = stored(again, "again")  # so that the join is one of plain tables, which Spark splits at a very common digest
+    release_shuffles(docs.sparkSession)
+    return again
+
+
 def repeated_spans(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     """doc_id, start, end, n_chunks, copies, first_doc_id and ``removed`` of each repeated passage.
 
     A passage has a row in every document that holds it; ``removed`` is false where it
     is the first copy.  ``copies`` is the most occurrences of one of its chunks.
     """
-    found = chunks(docs)  # cut twice rather than stored: the rows are more than half as large as the texts
-    place = F.struct("doc_id", "start")
-    counted = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("copies"))
-    # rows that repeat an id and a text have the same place, so they alone make no copies
-    again = counted.filter(F.col("first") != F.col("last")).select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start"), "copies")
-    again = stored(again, "again")  # so that the join is one of plain tables, which Spark splits at a very common digest
-    held = found.join(again, ["h1", "h2"]).select(
+    return _spans(docs, repeated_chunks(docs), least_bytes)
+
+
+def _spans(docs: DataFrame, again: DataFrame, least_bytes: int) -> DataFrame:
+    # cut a second time rather than stored: the rows are more than half as large as the texts
+    held = chunks(docs).join(again, ["h1", "h2"]).select(
         "doc_id", "start", (F.col("start") + F.col("length")).alias("end"), "copies", "first_doc_id",
         ((F.col("doc_id") != F.col("first_doc_id")) | (F.col("start") != F.col("first_start"))).alias("removed"),
     )
@@ -152,7 +162,12 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
 
     Only documents with spans are touched; ``n_chars``, where there is one, follows the text.
     """
-    spans = repeated_spans(docs, least_bytes).filter("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    again = repeated_chunks(docs)
+    spans = _spans(docs, again, least_bytes).filter("removed").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    # stored, so that the chunks' shuffles are gone before texts are shuffled; those without spans are not
+    spans = stored(spans, "spans")
+    discard(again)
+    release_shuffles(docs.sparkSession)
     data = F.encode("t", "UTF-8")
     start = F.struct(F.lit(0).alias("at"), F.encode(F.lit(""), "UTF-8").alias("out"))
 
@@ -161,7 +176,8 @@ def without_repeats(docs: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
         return F.struct(x["end"].alias("at"), F.concat(done["out"], gap).alias("out"))
 
     left = F.aggregate("_spans", start, step, lambda d: F.concat(d["out"], F.substring(data, d["at"] + 1, F.octet_length("t"))))
-    joined = whole_rows(docs).join(spans, F.col("k") == F.col("doc_id"), "left")
+    sure, others = sifted(docs, spans)
+    joined = whole_rows(others).join(spans, F.col("k") == F.col("doc_id"), "left")
     text = F.when(F.col("_spans").isNull(), F.col("t")).otherwise(F.decode(left, "UTF-8"))
     kept = joined.withColumn("left", text).filter(F.col("_spans").isNull() | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
-    return with_text(kept, docs.schema, F.col("left"))
+    return sure.unionByName(with_text(kept, docs.schema, F.col("left")))
