@@ -21,13 +21,14 @@ _scratch: dict[str, str] = {}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, and bound an Arrow batch of long texts."""
+    """Let Python workers import this package, and bound an Arrow batch in rows and bytes."""
     root = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root not in paths:
         env["PYTHONPATH"] = os.pathsep.join([root, *paths])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     return spark
 
 

@@ -13,7 +13,8 @@ bins would have met), so once a round of many groups merges hardly anything, wha
 still be merged needs one of those few.  The closing round gives them, and as many of the
 other bins with most room, to one task.
 
-Only ids, lengths and checksums leave the first stage.  Null texts are empty and give one
+What a task of the first stage holds has a bound: words of a slice of text, known words,
+and pieces that wait to be packed.  Only ids, lengths and checksums leave it.  Null texts are empty and give one
 piece: the end token.  Repeated rows are packed again as rows of their own.  Further
 columns are ignored.
 """
@@ -23,8 +24,10 @@ from __future__ import annotations
 import bisect
 import itertools
 import os
+import re
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -41,7 +44,10 @@ NEARLY_FULL = 0.995
 FAN_IN = 16
 GROUP_PIECES = 200_000
 SETTLED = 0.99  # of the bins that came in: a round that leaves more has hardly merged anything
-MEMO_LIMIT = 300_000
+TASK_PIECES = 50_000  # that a task of the first round holds until it packs them
+MEMO_LIMIT = 150_000
+SLICE_BYTES = 1 << 18  # of text whose words are held at a time
+CALL = 2_000  # words that the tokenizer gets at a time
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, residual boolean, task long"
 
@@ -70,19 +76,23 @@ class WordEncoder:
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def encode_all(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [_stems((x or "").encode("utf-8").lower().split()) for x in texts]
-        self.memo.turn()
-        new = [w.decode("utf-8") for w in self.memo.missing(split)]
-        runs, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
-        self._encode_runs(runs)
-        self._encode_each(others)
+        """Little-endian unsigned 32-bit ids of each text; the words of about ``SLICE_BYTES`` are held at a time."""
+        out: list[list[bytes]] = [[] for _ in texts]
         known = self.memo.__getitem__
-        return [b"".join(map(known, ws)) for ws in split]
+        for part in _slices(texts, SLICE_BYTES):
+            split = [_stems(x.split()) for _, x in part]
+            self.memo.turn()
+            new = [w.decode("utf-8") for w in self.memo.missing(split)]
+            runs, others = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+            self._encode_runs(runs)
+            self._encode_each(others)
+            for (k, _), ws in zip(part, split, strict=True):
+                out[k].append(b"".join(map(known, ws)))
+        return [b"".join(x) for x in out]
 
     def _encode_each(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        for i in range(0, len(words), CALL):
+            part = words[i : i + CALL]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.memo.keep(w.encode("utf-8"), struct.pack(f"<{len(e.ids)}I", *e.ids))
 
@@ -101,6 +111,23 @@ class WordEncoder:
                 at = end
 
 
+def _slices(texts: list[str | None], size: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Lower-cased texts with their places, in lists of about ``size`` bytes; longer texts are cut before white space."""
+    part, held = [], 0
+    for k, x in enumerate(texts):
+        data, at = (x or "").encode("utf-8").lower(), 0
+        while at < len(data):
+            gap = _GAP.search(data, at + size)
+            end = gap.start() if gap else len(data)
+            part.append((k, data[at:end]))
+            held, at = held + end - at, end
+            if held >= size:
+                yield part
+                part, held = [], 0
+    if part:
+        yield part
+
+
 def _stems(words: list[bytes]) -> list[bytes]:
     """Words, with a full stop or comma at their end cut off: after a letter or digit it is a token of its own."""
     out = []
@@ -113,6 +140,7 @@ def _stems(words: list[bytes]) -> list[bytes]:
     return out
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 _MARKS = frozenset(b".,")
 _ALNUM = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 _encoders: dict[str, WordEncoder] = {}
@@ -195,21 +223,31 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
 
 
 def tokenised_and_packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """First round: pieces of each document, packed within the task that tokenised them."""
+    """First round: pieces of each document, packed within the task that tokenised them, about ``TASK_PIECES`` at a time."""
+
+    most = TASK_PIECES
+
+    def packed(ids: list, rows: list, first: int) -> pa.RecordBatch:
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        items = pd.DataFrame({"doc_id": pd.array(ids, "Int64")} | {n: np.array(c, np.int64) for n, c in zip(("piece", "start", "length", "ids_crc32"), columns, strict=True)})
+        items = _pack(items, capacity, TaskContext.get().partitionId(), 0, False)
+        items["piece"] = items["piece"].astype("int32")
+        items["sequence_id"] += first
+        return pa.RecordBatch.from_pandas(items, schema=_ARROW, preserve_index=False)
 
     def run(batches):
         machine, close = encoder(tokenizer_path), np.array([end], "<u4").tobytes()
-        ids, rows = [], []
+        ids, rows, first = [], [], 0
         for b in batches:
             for d, x in zip(b.column(0).to_pylist(), machine.encode_all(b.column(1).to_pylist()), strict=True):
                 for p in cut(x + close, capacity):
                     ids.append(d)
                     rows.append(p)
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        items = pd.DataFrame({"doc_id": pd.array(ids, "Int64")} | {n: np.array(c, np.int64) for n, c in zip(("piece", "start", "length", "ids_crc32"), columns, strict=True)})
-        packed = _pack(items, capacity, TaskContext.get().partitionId(), 0, False)
-        packed["piece"] = packed["piece"].astype("int32")
-        yield pa.RecordBatch.from_pandas(packed, schema=_ARROW, preserve_index=False)
+            if len(rows) >= most:
+                yield packed(ids, rows, first)
+                first += len(rows)  # a piece makes one bin at most
+                ids, rows = [], []
+        yield packed(ids, rows, first)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

@@ -6,11 +6,14 @@ import itertools
 import math
 import os
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillmill.llm import byte_bpe, graph, jpeg_media, license_scan, packing, quality_rules, secret_scan, simhash, substring_dedup, suffix_tree_lm, toxicity
@@ -192,6 +195,55 @@ def test_residuals_climb_the_tree(spark, monkeypatch):
     assert len(rows) == 24 and len({r["sequence_id"] for r in rows}) == 12
 
 
+def test_word_encoder_holds_few_words_at_a_time():
+    """Long texts, and many, give the same ids as the tokenizer; their words are not all held at once."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    t.encode_special_tokens = True
+    machine = packing.encoder(P.path("word_bpe_49k.json"))
+    given = [None, "", " \t\n", "é" * 300_000, "Ab, c\x0bd. " * 60_000, " " * 600_000 + "x", *["a  b"] * 3, "x" * 300_000 + " y"]
+    assert machine.encode_all(given) == [np.array(t.encode(x or "", add_special_tokens=False).ids, "<u4").tobytes() for x in given]
+    many = ["to be or not to be " * 20_000] * 20
+    tracemalloc.start()
+    try:
+        machine.encode_all(many)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 64 << 20
+
+
+def test_a_task_packs_few_pieces_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(packing, "TASK_PIECES", 3_000, raising=False)
+    docs = spark.range(9_000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), (F.col("id") % 700).cast("int")).alias("text"))
+    first = packing.tokenised_and_packed(docs, P.path("word_bpe_49k.json")).collect()
+    check_bins(first)
+    bins = collections.defaultdict(set)
+    for r in first:
+        bins[r["sequence_id"]].add(r["doc_id"])
+    assert len(first) == 9_000 and max(max(x) - min(x) for x in bins.values()) < 6_000  # 2,000 rows are a batch
+    rows = packing.pack(docs, P.path("word_bpe_49k.json")).collect()
+    check_bins(rows)
+    assert sorted(r["doc_id"] for r in rows) == list(range(9_000))
+    assert len({r["sequence_id"] for r in rows}) <= -(-sum(r["length"] for r in rows) // 4096) + 2
+
+
+def test_python_gets_batches_of_few_bytes(spark):
+    """Workers get long texts in small batches; a group's batches are still one table."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    prepare(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    docs = spark.range(400, numPartitions=1).select("id", F.repeat(F.lit("long text "), 10_000).alias("text"))
+    got = [r["n"] for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) == 400 and max(got) <= 50
+    assert [r["n"] for r in docs.withColumn("g", F.lit(0)).groupBy("g").applyInArrow(lambda table: pa.table({"n": pa.array([table.num_rows], pa.int64())}), "n long").collect()] == [400]
+
+
 def first_round(spark, lengths_by_task, capacity=4096):
     """The table that the first round leaves, of pieces with the lengths given for each task."""
     parts = []
