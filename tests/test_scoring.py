@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -89,3 +90,76 @@ def test_words_stand_for_those_within_the_allowed_edits():
 def test_expansions_and_postings_are_not_shuffled(spark, small):
     plan = entry.queries()["multi_field_search"](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan and "HashAggregate" not in plan
+
+
+def near_words(rng, letters, n, most):
+    """Words, and for each some that are a few edits off (swaps with a letter in between, too)."""
+    words = ["".join(rng.choice(list(letters), k)) for k in rng.integers(1, most, n).tolist()]
+    for w in list(words):
+        for _ in range(3):
+            x = list(w)
+            for _ in range(rng.integers(0, 3)):
+                i, c = int(rng.integers(len(x) + 1)), str(rng.choice(list(letters)))
+                x[i : i + 2] = [[c, *x[i : i + 2]], x[i + 1 : i + 2], [c, *x[i + 1 : i + 2]], x[i : i + 2][::-1], [*x[i + 1 : i + 2], c, *x[i : i + 1]]][int(rng.integers(5))]
+            words.append("".join(x) or "a")
+    return list(dict.fromkeys(words))
+
+
+@pytest.mark.parametrize(("letters", "most"), [("ab", 9), ("abcdé", 14), ("ab", S.LETTERS + 9)])
+def test_edits_of_many_pairs_are_those_of_each(letters, most):
+    words = near_words(np.random.default_rng(7), letters, 120, most)
+    pairs = [(i, j) for i, a in enumerate(words) for j, b in enumerate(words) if abs(len(a) - len(b)) <= 2][:60_000]
+    got = S.edits_within_two(words, words, *np.array(pairs).T)
+    assert got.tolist() == [S.edits_within(words[i], words[j], 2) for i, j in pairs]
+
+
+def test_words_are_looked_up_together_and_not_pair_by_pair(monkeypatch):
+    words = near_words(np.random.default_rng(8), "abcdé", 300, 13)
+    con = duckdb.connect()
+    con.execute("create table w as select unnest(range(len(x))) i, translate(unnest(x), 'é', '!') a from (select ?::varchar[] x)", [words])
+    want = con.execute("select w.a, a.i, damerau_levenshtein(a.a, w.a) d from w, (select * from w where i < 60) a where d <= case when length(a.a) <= 2 then 0 when length(a.a) <= 5 then 1 else 2 end").fetchall()
+    monkeypatch.setattr(S, "edits_within", lambda *_: pytest.fail("one pair at a time")), monkeypatch.setattr(S, "REMEMBERED", 100)
+    found, again, got = S.Expanded(words[:60], 10), S.Expanded(words[:60], 10), []
+    for at in range(0, len(words), 40):
+        if found.full():
+            found.forget()
+        some = words[at : at + 40]
+        found.numbers([*some, *(w for w in words[:5] if w not in some)])  # some are met again when they are older, or forgotten
+        got += [(w.replace("é", "!"), i, n) for w in some for i, n in found[w]]
+        assert [found[w] for w in words[:5]] == [again[w] for w in words[:5]] and len(found.number) <= 145
+    assert sorted(got) == sorted(want)
+
+
+def test_documents_with_one_id_count_once_for_a_term_and_length(spark, odd):
+    got = entry.queries()["multi_field_search"](spark, odd[0])
+    want = odd[1].execute(entry.oracle_sql()["multi_field_search"]).fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) >= 20
+
+
+def test_counts_of_terms_do_not_depend_on_what_a_task_remembers(spark, odd, monkeypatch):
+    from quillmill.operators import search
+
+    class Steps(list):
+        """Keeps what a DataFrame's tasks would run."""
+
+        sparkSession = spark
+
+        def mapInArrow(self, run, _):
+            self.append(run)
+            return self
+
+        groupBy = agg = repartition = lambda self, *_: self
+
+    asked = "alpha beta gama delt alphabet de".split()
+    texts = [(i, [["web " + str(i), "", " ".join(x)]]) for i, x in enumerate([["alpha", "beta"], ["gamma", "delta"], ["alpha", "alphabet", "alpha"], []])]
+    batches = [pa.record_batch([pa.array([i]), pa.array([rows])], ["doc_id", "rows"]) for i, rows in texts]
+    every = []
+    for remembered in (0, 1000):
+        monkeypatch.setattr(S, "REMEMBERED", remembered)
+        steps = search.asked_counts(Steps(), S.Expanded(asked, 10))
+        sums: dict = {}
+        for row in (r for b in steps[0](iter(batches)) for r in b.to_pylist()):
+            sums[row["term"]] = [a + (b or 0) for a, b in zip(sums.get(row["term"], [0] * 8), list(row.values())[1:], strict=True)]
+        every.append(sums)
+    assert every[0] == every[1]
+    assert every[0]["alpha"][:4] == [0, 0, 2, 2] and every[0][None] == [4, 0, 3, 4, 8, 0, 7, 15]
