@@ -155,11 +155,34 @@ def test_counts_of_terms_do_not_depend_on_what_a_task_remembers(spark, odd, monk
     batches = [pa.record_batch([pa.array([i]), pa.array([rows])], ["doc_id", "rows"]) for i, rows in texts]
     every = []
     for remembered in (0, 1000):
-        monkeypatch.setattr(S, "REMEMBERED", remembered)
+        monkeypatch.setattr(search, "REMEMBERED", remembered)
         steps = search.asked_counts(Steps(), S.Expanded(asked, 10))
         sums: dict = {}
         for row in (r for b in steps[0](iter(batches)) for r in b.to_pylist()):
-            sums[row["term"]] = [a + (b or 0) for a, b in zip(sums.get(row["term"], [0] * 8), list(row.values())[1:], strict=True)]
+            sums[row["term"]] = [a + b for a, b in zip(sums.get(row["term"], [0] * 4), list(row.values())[1:], strict=True)]
         every.append(sums)
     assert every[0] == every[1]
-    assert every[0]["alpha"][:4] == [0, 0, 2, 2] and every[0][None] == [4, 0, 3, 4, 8, 0, 7, 15]
+    assert every[0]["alpha"] == [0, 0, 2, 2] and every[0][None] == [4, 0, 3, 4] and every[0][""] == [8, 0, 7, 15]
+
+
+@pytest.mark.parametrize("given", [0, 3, 1000])
+def test_results_do_not_depend_on_the_words_that_tasks_are_given(spark, odd, monkeypatch, given):
+    from quillmill.operators import search
+
+    monkeypatch.setattr(search, "GIVEN", given)
+    got = entry.queries()["multi_field_search"](spark, odd[0])
+    assert sorted(map(tuple, got.collect())) == sorted(odd[1].execute(entry.oracle_sql()["multi_field_search"]).fetchall())
+    words = ["alpha", "unlike", "gamma"]
+    table = S.Given("x", pa.array(words), np.array([2, 0, 1]), np.array([0, 1, 2]), np.array([0, 2, 1]))
+    found = S.Expanded(["alpha", "alphabe", "gama"], 10, table)
+    monkeypatch.setattr(S.Expanded, "found", lambda *_: pytest.fail("looked up"))
+    found.numbers(words[::-1])
+    assert [found[w] for w in words] == [[(0, 0), (1, 2)], [], [(2, 1)]]
+    assert found.near[found.first[found.number["gamma"]]] == 1 - 1 / 4
+
+
+def test_the_most_frequent_terms_keep_their_pairs():
+    from quillmill.operators import search
+
+    terms, df, n, pairs = search.most_frequent(2, list("abcd"), np.array([5, 1, 9, 5]), np.array([1, 2, 0, 3]), np.arange(6))
+    assert (terms, df.tolist(), n.tolist(), pairs.tolist()) == (["a", "c"], [5, 9], [1, 0], [0])
